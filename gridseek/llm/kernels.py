@@ -157,3 +157,11 @@ class Bloom:
         packed = np.zeros(bits // 64, dtype=U)
         packed[found["word"].to_numpy()] = found["value"].to_numpy().view(U)
         return Bloom(bits, packed)
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
+    """A hash of each run of 64-bit values."""
+    up, down = powers(base, len(values) + 1)
+    total = np.zeros(len(values) + 1, dtype=U)
+    np.cumsum(mix(values + U(base)) * up[: len(values)], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
