@@ -7,7 +7,7 @@ one join of fingerprints. Each met pair is then extended word by word to both si
 fewer words is one window by itself, met through the hash of all its words.
 
 A Bloom filter of the items' fingerprints lets few others of the documents reach the shuffle. Its
-number of bits is fixed; with too many items it lets more pass and the join does the work.
+number of bits has a bound; with too many items it lets more pass and the join does the work.
 """
 
 from __future__ import annotations
@@ -126,7 +126,7 @@ def _extended(window: int, k: int):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, bloom_bits: int = 1 << 24) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, bloom_bits: int = 1 << 28) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, one row for each row of docs.
 
     A null or empty text has no words and no hits; so has an item, which occurs nowhere. Items of

@@ -143,8 +143,12 @@ class Bloom:
         return out
 
     @staticmethod
-    def of(keys: DataFrame, column: str, bits: int) -> Bloom:
-        """Built by one aggregation per 64-bit word of the filter; at most bits / 64 rows reach the driver."""
+    def of(keys: DataFrame, column: str, most: int = 1 << 28) -> Bloom:
+        """16 bits for each key, up to `most` bits: the proven bound of what is collected and broadcast.
+
+        Each 64-bit word of the filter is one group of an aggregation, so that at most bits / 64 rows reach the driver.
+        """
+        bits = min(most, 1 << max(16, (16 * keys.count()).bit_length()))
         key = F.col(column)
         at = [F.shiftrightunsigned(key, s).bitwiseAND(F.lit(bits - 1)) for s in (0, 32)]
         bit = F.explode(F.array(*at)).alias("bit")

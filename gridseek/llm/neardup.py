@@ -133,7 +133,7 @@ def _central(large: DataFrame, signs: DataFrame, n: int) -> DataFrame:
     return some.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(*order))).where(F.col("r") <= n).select("node", F.col("id").alias("hub"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: int = 10, depth: int = 3, seed: int = 7, bloom_bits: int = 1 << 24) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: int = 10, depth: int = 3, seed: int = 7, bloom_bits: int = 1 << 28) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs.
 
     Documents of no words, and null texts, are linked with nothing. Rows that repeat an id are one

@@ -6,12 +6,13 @@ group. Most-significant-digit passes split the groups; a group of one is done an
 1. The first digit is a `gram`-byte piece of the window: the one of the least hash, which the
    window's bytes alone fix. Neighbouring windows share it, so that one row stands for a run of
    suffixes. Digits that occur once leave here.
-2. Where all occurrences of a digit have the same bytes around it, these bytes are the last digit:
-   the whole run is equal. Else each window of the run becomes a row with its own bytes as the digit.
+2. All bytes around the digit sort the runs of a group into classes. Runs of one class are equal, so
+   that all but its earliest are repeats. Where the class is the whole group, that is all.
+3. Else the earliest run of each class goes on, with its bytes, in parts of `part` windows. The digit
+   is then what all windows of a part hold; again single digits leave and equal parts form classes.
+4. What is left goes on window by window, with all its bytes as the last digit.
 
-Equal groups are then exactly the repeated windows. The rows of a group other than those in its
-earliest document are repeats; within a document, those after the first. Bytes are compared by
-128-bit hashes.
+Equal groups are then exactly the repeated windows. Bytes are compared by 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridseek.llm import kernels as K
-from gridseek.llm.common import durable
+from gridseek.llm.common import durable, stored
 
 #: Bytes that are handled at once, so that the arrays stay in the processor's cache.
 PIECE_BITS = 17
@@ -40,14 +41,18 @@ def _pieces(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray
             yield i, 0, data, offsets
         else:
             for at in range(0, len(data) - width + 1, PIECE - width + 1):
-                part = data[at : at + PIECE]
-                yield i, at, part, np.array([0, len(part)])
+                piece = data[at : at + PIECE]
+                yield i, at, piece, np.array([0, len(piece)])
 
 
 class _Runs:
-    """The runs of windows that share their first digit, in one piece."""
+    """The runs of windows that share their digit, in one piece.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> None:
+    part: 0 for whole runs with the gram as the digit; else parts of so many windows by their distance
+    to the gram, with the bytes that all windows of the part hold as the digit.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, width: int, gram: int, part: int) -> None:
         self.width, n = width, len(data)
         self.up, self.down = K.powers(K.BASE, PIECE + 1), K.powers(K.BASE2, PIECE + 1)
         plus = data.astype(K.U) + K.U(1)
@@ -67,14 +72,19 @@ class _Runs:
         end = np.repeat(offsets[1:], lengths)[: len(at)]
         whole = np.flatnonzero(end - np.arange(len(at)) >= width)
         at = at[whole]
+        away = (at - whole) // part if part else at
         new = np.ones(len(whole), dtype=bool)
-        new[1:] = (at[1:] != at[:-1]) | (whole[1:] != whole[:-1] + 1)
+        new[1:] = (at[1:] != at[:-1]) | (whole[1:] != whole[:-1] + 1) | (away[1:] != away[:-1])
         new = np.flatnonzero(new)
         self.first = whole[new]
         self.last = whole[np.append(new[1:], len(whole)) - 1] if len(new) else whole
         self.at = at[new]
-        self.digit = hashes[self.at]
         self.text = np.searchsorted(offsets, self.first, side="right") - 1
+        if part:
+            start = self.at - away[new] * part
+            self.digit = K.mix(self.spans(start, start + width - part + 1)[0] ^ away[new].astype(K.U))
+        else:
+            self.digit = hashes[self.at]
 
     def spans(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of bytes low to high."""
@@ -88,93 +98,150 @@ class _Runs:
         return K.mix(a ^ place), b
 
 
-def _digits(column: pa.Array, width: int, gram: int) -> pa.RecordBatch:
-    """Each first digit, how often it occurs, and the least and greatest hash of what is around it."""
+def _digits(column: pa.Array, width: int, gram: int, part: int) -> pa.RecordBatch:
+    """Each digit, how often it occurs, and the least and greatest hash of what is around it."""
     digits, rounds = [], []
     for _, _, data, offsets in _pieces(column, width):
-        runs = _Runs(data, offsets, width, gram)
-        digits.append(runs.digit)
-        rounds.append(runs.around()[0])
+        runs = _Runs(data, offsets, width, gram, part)
+        if len(runs.digit):
+            digits.append(runs.digit)
+            rounds.append(runs.around()[0])
     digit, around = (np.concatenate(x) if x else np.zeros(0, K.U) for x in (digits, rounds))
     order = np.lexsort((around, digit))
     digit, around = digit[order], around[order]
     new = np.flatnonzero(np.append(True, digit[1:] != digit[:-1])) if len(digit) else np.zeros(0, np.int64)
-    ends = np.append(new[1:], len(digit))
-    low, high = around[new], around[ends - 1] if len(digit) else around
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64) if x.dtype != K.U else x.view(np.int64)) for x in (digit[new], ends - new, low, high)], names=["digit", "n", "low", "high"])
+    ends = np.append(new[1:], len(digit))[: len(new)]
+    columns = (digit[new].view(np.int64), ends - new, around[new].view(np.int64), around[ends - 1].view(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["digit", "n", "low", "high"])
 
 
-def _rows(column: pa.Array, width: int, gram: int, twice: K.Bloom, mixed: K.Bloom) -> tuple[np.ndarray, ...]:
-    """(text, first window, last window, key, key, again): again marks those that follow an equal one in their text."""
-    out: list[list[np.ndarray]] = []
+def _found(texts: DataFrame, column: str, width: int, gram: int, part: int, bloom_bits: int) -> tuple:
+    """Bloom filters, sent to all executors, of the digits that occur twice or more and of those with unlike bytes around them."""
 
-    def add(text: np.ndarray, low: np.ndarray, high: np.ndarray, keys: tuple[np.ndarray, np.ndarray]) -> None:
-        out.append([text, low, high, *keys])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _digits(batch.column(column), width, gram, part)
 
+    found = (
+        texts.select(column)
+        .mapInArrow(run, "digit long, n long, low long, high long")
+        .groupBy("digit")
+        .agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        .where("n > 1")
+        .select("digit", (F.col("low") != F.col("high")).alias("mixed"))
+    )
+    found = durable(found)
+    return tuple(texts.sparkSession.sparkContext.broadcast(K.Bloom.of(x, "digit", bloom_bits)) for x in (found, found.where("mixed")))
+
+
+def _runs(column: pa.Array, width: int, gram: int, twice: K.Bloom, mixed: K.Bloom) -> tuple[np.ndarray, ...]:
+    """(text, first window, last window, key, key, mixed, again) of runs whose digit occurs twice; again: an equal one is before in the text."""
+    out: list[tuple[np.ndarray, ...]] = []
     for i, at, data, offsets in _pieces(column, width):
-        runs = _Runs(data, offsets, width, gram)
+        runs = _Runs(data, offsets, width, gram, 0)
+        keep = np.flatnonzero(twice.has(runs.digit))
+        if len(keep):
+            start = offsets[runs.text[keep]] - at
+            a, b = runs.around()
+            out.append((i + runs.text[keep], runs.first[keep] - start, runs.last[keep] - start, a[keep], b[keep], mixed.has(runs.digit[keep])))
+    if not out:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, K.U, K.U, bool, bool))
+    text, low, high, a, b, many = (np.concatenate(x) for x in zip(*out))
+    order = np.lexsort((low, b, a, text))
+    text, low, high, a, b, many = (x[order] for x in (text, low, high, a, b, many))
+    again = np.zeros(len(text), dtype=bool)
+    again[1:] = (text[1:] == text[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    return text, low, high, a, b, many, again
+
+
+def _parts(column: pa.Array, width: int, gram: int, part: int, twice: K.Bloom, mixed: K.Bloom) -> tuple[np.ndarray, ...]:
+    """(text, first window, last window, key, key) of parts whose digit occurs twice: whole, or window by window where it is mixed."""
+    out: list[tuple[np.ndarray, ...]] = []
+    for i, _, data, offsets in _pieces(column, width):
+        runs = _Runs(data, offsets, width, gram, part)
         keep = np.flatnonzero(twice.has(runs.digit))
         if not len(keep):
             continue
-        start = offsets[runs.text] - at
         many = mixed.has(runs.digit[keep])
-        one = keep[~many]
+        one, each = keep[~many], keep[many]
+        start = offsets[runs.text]
         a, b = runs.around()
-        add(i + runs.text[one], runs.first[one] - start[one], runs.last[one] - start[one], (a[one], b[one]))
-        each = keep[many]
-        if len(each):
-            size = runs.last[each] - runs.first[each] + 1
-            run = np.repeat(each, size)
-            p = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size) + runs.first[run]
-            add(i + runs.text[run], p - start[run], p - start[run], runs.spans(p, p + width))
+        out.append((i + runs.text[one], runs.first[one] - start[one], runs.last[one] - start[one], a[one], b[one]))
+        size = runs.last[each] - runs.first[each] + 1
+        run = np.repeat(each, size)
+        p = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size) + runs.first[run]
+        out.append((i + runs.text[run], p - start[run], p - start[run], *runs.spans(p, p + width)))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, K.U, K.U, bool))
-    text, low, high, a, b = (np.concatenate(x) for x in zip(*out))
-    order = np.lexsort((low, b, a, text))
-    text, low, high, a, b = (x[order] for x in (text, low, high, a, b))
-    again = np.zeros(len(text), dtype=bool)
-    again[1:] = (text[1:] == text[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    return text, low, high, a, b, again
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, K.U, K.U))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
 
+def _key(a: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    """One key of a class and a document."""
+    return K.mix(a ^ K.mix(doc_id.view(K.U)))
 
-def repeats(docs: DataFrame, width: int = 100, gram: int = 32, bloom_bits: int = 1 << 26) -> DataFrame:
+
+def repeats(docs: DataFrame, width: int = 100, gram: int = 32, part: int = 17, bloom_bits: int = 1 << 28) -> DataFrame:
     """doc_id, text_hash, low and high of runs of windows (first bytes low to high) that also start earlier.
 
     Earlier: in a document of smaller doc_id (null is the smallest), or before in the same row. Rows
     of equal doc_id are not earlier than each other. Null and empty texts have no windows.
     """
-    texts = docs.select(F.coalesce("doc_id", F.lit(LEAST)).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.coalesce("doc_id", F.lit(LEAST)).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     spark = docs.sparkSession
+    twice, mixed = _found(texts, "text", width, gram, 0, bloom_bits)
 
-    def digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _digits(batch.column("text"), width, gram)
+            text, low, high, a, b, many, again = _runs(batch.column("text"), width, gram, twice.value, mixed.value)
+            ids, hashes = (batch.column(c).take(pa.array(text)) for c in ("doc_id", "text_hash"))
+            key = _key(a, ids.to_numpy())
+            columns = [ids, hashes, *(pa.array(x.view(np.int64)) for x in (low, high, a, b, key)), pa.array(many), pa.array(again)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "low", "high", "a", "b", "key", "mixed", "again"])
 
-    found = (
-        texts.select("text")
-        .mapInArrow(digits, "digit long, n long, low long, high long")
-        .groupBy("digit")
-        .agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-        .where("n > 1")
-        .select("digit", (F.col("low") != F.col("high")).alias("mixed"))
-    )
-    found = durable(found)
-    twice, mixed = (spark.sparkContext.broadcast(K.Bloom.of(x, "digit", bloom_bits)) for x in (found, found.where("mixed")))
+    rows = stored(texts.mapInArrow(runs, "doc_id long, text_hash long, low long, high long, a long, b long, key long, mixed boolean, again boolean"))
+    ahead = rows.where("not again")
+    classes = ahead.groupBy("a", "b").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"))
+    later = ahead.select("doc_id", "text_hash", "low", "high", "a", "b").join(classes.where("latest > earliest"), ["a", "b"]).where("doc_id > earliest")
+
+    # the earliest run of each class of a mixed group, with its bytes
+    earliest = ahead.where("mixed").groupBy("a", "b").agg(F.min_by("key", "doc_id").alias("key"))
+    chosen = spark.sparkContext.broadcast(K.Bloom.of(earliest.select("key"), "key", bloom_bits))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, low, high, a, b, again = _rows(batch.column("text"), width, gram, twice.value, mixed.value)
+            column = batch.column("text")
+            text, low, high, a, _, many, again = _runs(column, width, gram, twice.value, mixed.value)
+            keep = many & ~again
+            text, low, high, a = text[keep], low[keep], high[keep], a[keep]
+            ids = batch.column("doc_id").take(pa.array(text))
+            keep = chosen.value.has(_key(a, ids.to_numpy()))
+            text, low, high = text[keep], low[keep], high[keep]
+            raw = [memoryview(column[i].as_buffer()) if column[i].is_valid else b"" for i in range(len(column))] if len(text) else []
+            held = pa.array([bytes(raw[i][x : y + width]) for i, x, y in zip(text.tolist(), low.tolist(), high.tolist())], pa.binary())
             ids, hashes = (batch.column(c).take(pa.array(text)) for c in ("doc_id", "text_hash"))
-            out = [ids, hashes, *(pa.array(x.view(np.int64)) for x in (low, high, a, b)), pa.array(again)]
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "text_hash", "low", "high", "a", "b", "again"])
+            yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(low), held], names=["doc_id", "text_hash", "low", "bytes"])
 
-    groups = durable(
-        texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(rows, "doc_id long, text_hash long, low long, high long, a long, b long, again boolean")
-    )
-    earliest = groups.where("not again").groupBy("a", "b").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("latest > earliest").select("a", "b", "earliest")
-    later = groups.where("not again").join(earliest, ["a", "b"]).where("doc_id > earliest")
+    held = stored(texts.mapInArrow(bytes_of, "doc_id long, text_hash long, low long, bytes binary"))
+    twice_in, mixed_in = _found(held, "bytes", width, gram, part, bloom_bits)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, low, high, a, b = _parts(batch.column("bytes"), width, gram, part, twice_in.value, mixed_in.value)
+            ids, hashes, base = (batch.column(c).take(pa.array(text)) for c in ("doc_id", "text_hash", "low"))
+            base = base.to_numpy()
+            yield pa.RecordBatch.from_arrays([ids, hashes, *(pa.array(x.view(np.int64)) for x in (base + low, base + high, a, b))], names=["doc_id", "text_hash", "low", "high", "a", "b"])
+
+    split = stored(held.mapInArrow(parts, "doc_id long, text_hash long, low long, high long, a long, b long"))
+    inner = split.groupBy("a", "b").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("latest > earliest")
+    inside = split.groupBy("a", "b", "doc_id", "text_hash").agg(F.min("low").alias("start"), F.max("low").alias("end")).where("end > start")
     names = ("doc_id", "text_hash", "low", "high")
-    return later.select(*names).unionAll(groups.where("again").select(*names))
+    return (
+        later.select(*names)
+        .unionAll(rows.where("again").select(*names))
+        .unionAll(split.join(inner, ["a", "b"]).where("doc_id > earliest").select(*names))
+        .unionAll(split.join(inside.select("a", "b", "doc_id", "text_hash", "start"), ["a", "b", "doc_id", "text_hash"]).where("low > start").select(*names))
+    )
 
 
 def _merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,14 +252,14 @@ def _merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[new], reach[np.append(new[1:], len(low)) - 1]
 
 
-def without_repeats(docs: DataFrame, width: int = 100, gram: int = 32, bloom_bits: int = 1 << 26) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = 100, gram: int = 32, part: int = 17, bloom_bits: int = 1 << 28) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary): each text without its repeated strings.
 
     Every row of docs gives one row. Null and empty texts stay empty. What is left is bytes: a cut may
     fall within a character. Rows that repeat an id and a text count as one document and get the same
     result. Other columns of docs take no part.
     """
-    runs = repeats(docs, width, gram, bloom_bits).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    runs = repeats(docs, width, gram, part, bloom_bits).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"own": F.coalesce("doc_id", F.lit(LEAST)).cast("long"), "text_hash": F.xxhash64("text")})
     joined = own.join(runs.withColumnRenamed("doc_id", "own"), ["own", "text_hash"], "left").select("doc_id", "text", "runs")
