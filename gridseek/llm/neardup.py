@@ -79,8 +79,7 @@ def _sets(docs: DataFrame, width: int, wanted: K.Bloom) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
-            batch = batch.filter(pa.array(shared.value.has(K.mix(ids.to_numpy().view(K.U)))))
+            batch = batch.filter(pa.array(shared.value.has(batch.column("key").to_numpy().view(K.U))))
             hashes, sizes = [], []
             for h, size, *_ in _shingled(batch.column("text"), width):
                 hashes.append(h), sizes.append(size)
@@ -88,7 +87,7 @@ def _sets(docs: DataFrame, width: int, wanted: K.Bloom) -> DataFrame:
             raw = np.concatenate(hashes).tobytes() if hashes else b""
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])], names=["id", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles binary")
+    return docs.withColumn("key", F.xxhash64("doc_id")).mapInArrow(run, "id long, shingles binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -168,7 +167,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
     for x in done[1:]:
         nodes = nodes.unionAll(x)
     nodes = durable(nodes)
-    sets = durable(_sets(texts.where("doc_id is not null"), width, K.Bloom.of(nodes.select(_mixed("id").alias("key")), "key", bloom_bits)))
+    sets = durable(_sets(texts.where("doc_id is not null"), width, K.Bloom.of(nodes.select(F.xxhash64("id").alias("key")), "key", bloom_bits)))
 
     # each member with its node's first or central members
     small, large = nodes.where(F.col("size") <= SMALL), nodes.where(F.col("size") > SMALL)
@@ -209,35 +208,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
     )
 
 
-def _mixed(name: str):
-    """kernels.mix in SQL, so that a Bloom filter gets the same keys from either side."""
-    x = F.col(name)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = _wrapping(x.bitwiseXOR(F.shiftrightunsigned(x, shift)), factor)
-    return x.bitwiseXOR(F.shiftrightunsigned(x, 31))
-
-
-def _wrapping(x, factor: int):
-    """x * factor modulo 2**64 without overflow errors: 32-bit halves of x, 16-bit pieces of the factor."""
-    out = F.lit(0).cast("long")
-    for i in range(4):
-        piece = factor >> (16 * i) & 0xFFFF
-        # low and high half of x times a 16-bit piece stay below 2**48; shifts drop what overflows
-        low, high = x.bitwiseAND(F.lit((1 << 32) - 1)) * piece, F.shiftrightunsigned(x, 32) * piece
-        for part, shift in ((low, 16 * i), (high, 16 * i + 32)):
-            if shift < 64:
-                out = _adding(out, F.shiftleft(part, shift))
-    return out
-
-
-def _adding(x, y):
-    """x + y modulo 2**64."""
-    half = F.lit((1 << 32) - 1)
-    low = x.bitwiseAND(half) + y.bitwiseAND(half)
-    high = F.shiftrightunsigned(x, 32) + F.shiftrightunsigned(y, 32) + F.shiftrightunsigned(low, 32)
-    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(half))
-
-
 def one_each(docs: DataFrame, percent: int = 85) -> DataFrame:
     """docs with one document of each component, the one of the smallest id."""
     kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select("doc_id").distinct()

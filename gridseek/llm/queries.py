@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridseek.llm.common import table
 from gridseek.llm.decontam import contamination
+from gridseek.llm.neardup import near_duplicates
 from gridseek.llm.suffixdedup import without_repeats
 from gridseek.llm.tokencount import token_counts
 
@@ -24,10 +25,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_token_counts": op8_token_counts,
+    "op9_near_duplicates": op9_near_duplicates,
 }
 
 SQL: dict[str, str] = {}
