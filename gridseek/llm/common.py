@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -38,9 +39,14 @@ def stored(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gridseek-"))
     path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
+    # what led here isn't read again: its shuffle files go as soon as the driver has collected its garbage
+    del df
+    gc.collect()
+    context._jvm.System.gc()
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

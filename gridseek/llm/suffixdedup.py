@@ -147,10 +147,8 @@ def _runs(column: pa.Array, width: int, gram: int, twice: K.Bloom, mixed: K.Bloo
     if not out:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, K.U, K.U, bool, bool))
     text, low, high, a, b, many = (np.concatenate(x) for x in zip(*out))
-    order = np.lexsort((low, b, a, text))
+    order, again = _again(text, low, a, b)
     text, low, high, a, b, many = (x[order] for x in (text, low, high, a, b, many))
-    again = np.zeros(len(text), dtype=bool)
-    again[1:] = (text[1:] == text[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1])
     return text, low, high, a, b, many, again
 
 
@@ -176,72 +174,91 @@ def _parts(column: pa.Array, width: int, gram: int, part: int, twice: K.Bloom, m
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _key(a: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
-    """One key of a class and a document."""
-    return K.mix(a ^ K.mix(doc_id.view(K.U)))
+def _again(text: np.ndarray, low: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows, and in that order whether an equal one is before in the same text."""
+    order = np.lexsort((low, b, a, text))
+    text, a, b = text[order], a[order], b[order]
+    again = np.zeros(len(text), dtype=bool)
+    again[1:] = (text[1:] == text[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    return order, again
+
+
+def _packed(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Array:
+    """26 bits of the text's hash, the first window (31 bits) and the number of further ones (7 bits): less to shuffle."""
+    return pa.array((hashes.view(K.U) >> K.U(38) << K.U(38) | low.astype(K.U) << K.U(7) | (high - low).astype(K.U)).view(np.int64))
+
+
+ROW, NAMES = "doc_id long, at long, a long, b long, mixed boolean, again boolean", ["doc_id", "at", "a", "b", "mixed", "again"]
 
 
 def repeats(docs: DataFrame, width: int = 100, gram: int = 32, part: int = 17, bloom_bits: int = 1 << 28) -> DataFrame:
-    """doc_id, text_hash, low and high of runs of windows (first bytes low to high) that also start earlier.
+    """doc_id (null: the least long), text26 (bits of the text's hash), low and high of runs of windows (first bytes) that also start earlier.
 
     Earlier: in a document of smaller doc_id (null is the smallest), or before in the same row. Rows
     of equal doc_id are not earlier than each other. Null and empty texts have no windows.
     """
-    texts = docs.select(F.coalesce("doc_id", F.lit(LEAST)).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    if width - gram >= 127:
+        raise ValueError("runs may have 127 windows at most")
     spark = docs.sparkSession
+    texts = docs.select(F.coalesce("doc_id", F.lit(LEAST)).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.withColumn("text_hash", F.xxhash64("text")).withColumn("id_hash", F.xxhash64("doc_id"))
     twice, mixed = _found(texts, "text", width, gram, 0, bloom_bits)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, low, high, a, b, many, again = _runs(batch.column("text"), width, gram, twice.value, mixed.value)
-            ids, hashes = (batch.column(c).take(pa.array(text)) for c in ("doc_id", "text_hash"))
-            key = _key(a, ids.to_numpy())
-            columns = [ids, hashes, *(pa.array(x.view(np.int64)) for x in (low, high, a, b, key)), pa.array(many), pa.array(again)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "low", "high", "a", "b", "key", "mixed", "again"])
+            ids, hashes = (batch.column(c).to_numpy()[text] for c in ("doc_id", "text_hash"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), _packed(hashes, low, high), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(many), pa.array(again)], names=NAMES)
+
+    rows = stored(texts.mapInArrow(runs, ROW))
+    classes = stored(rows.where("not again").groupBy("a", "b").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"), F.bool_or("mixed").alias("mixed")))
+
+    def after(rows: DataFrame, classes: DataFrame) -> DataFrame:
+        """Those that are not in the earliest document of their class, or follow an equal one in it."""
+        ahead = rows.where("not again").select("doc_id", "at", "a", "b")
+        later = ahead.join(classes.where("latest > earliest").select("a", "b", "earliest"), ["a", "b"]).where("doc_id > earliest")
+        return stored(later.select("doc_id", "at").unionAll(rows.where("again").select("doc_id", "at")))
 
-    rows = stored(texts.mapInArrow(runs, "doc_id long, text_hash long, low long, high long, a long, b long, key long, mixed boolean, again boolean"))
-    ahead = rows.where("not again")
-    classes = ahead.groupBy("a", "b").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"))
-    later = ahead.select("doc_id", "text_hash", "low", "high", "a", "b").join(classes.where("latest > earliest"), ["a", "b"]).where("doc_id > earliest")
+    outer = after(rows, classes)
 
-    # the earliest run of each class of a mixed group, with its bytes
-    earliest = ahead.where("mixed").groupBy("a", "b").agg(F.min_by("key", "doc_id").alias("key"))
-    chosen = spark.sparkContext.broadcast(K.Bloom.of(earliest.select("key"), "key", bloom_bits))
+    # the earliest run of each class of a mixed group, with its bytes: one row for each document
+    chosen = spark.sparkContext.broadcast(K.Bloom.of(classes.where("mixed").select(F.col("a").bitwiseXOR(F.xxhash64("earliest")).alias("key")), "key", bloom_bits))
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
             text, low, high, a, _, many, again = _runs(column, width, gram, twice.value, mixed.value)
-            keep = many & ~again
-            text, low, high, a = text[keep], low[keep], high[keep], a[keep]
-            ids = batch.column("doc_id").take(pa.array(text))
-            keep = chosen.value.has(_key(a, ids.to_numpy()))
+            keep = np.flatnonzero(many & ~again)
+            keep = keep[chosen.value.has(a[keep] ^ batch.column("id_hash").to_numpy().view(K.U)[text[keep]])]
             text, low, high = text[keep], low[keep], high[keep]
-            raw = [memoryview(column[i].as_buffer()) if column[i].is_valid else b"" for i in range(len(column))] if len(text) else []
+            order = np.lexsort((low, text))
+            text, low, high = text[order], low[order], high[order]
+            some, sizes = np.unique(text, return_counts=True)
+            raw = {i: memoryview(column[i].as_buffer()) for i in some.tolist()}
             held = pa.array([bytes(raw[i][x : y + width]) for i, x, y in zip(text.tolist(), low.tolist(), high.tolist())], pa.binary())
-            ids, hashes = (batch.column(c).take(pa.array(text)) for c in ("doc_id", "text_hash"))
-            yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(low), held], names=["doc_id", "text_hash", "low", "bytes"])
+            each = pa.StructArray.from_arrays([pa.array(low), held], names=["low", "bytes"])
+            ids, hashes = (pa.array(batch.column(c).to_numpy()[some]) for c in ("doc_id", "text_hash"))
+            yield pa.RecordBatch.from_arrays([ids, hashes, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), each)], names=["doc_id", "text_hash", "runs"])
 
-    held = stored(texts.mapInArrow(bytes_of, "doc_id long, text_hash long, low long, bytes binary"))
-    twice_in, mixed_in = _found(held, "bytes", width, gram, part, bloom_bits)
+    held = stored(texts.mapInArrow(bytes_of, "doc_id long, text_hash long, runs array<struct<low:long,bytes:binary>>"))
+    twice_in, mixed_in = _found(held.select(F.explode("runs.bytes").alias("bytes")), "bytes", width, gram, part, bloom_bits)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, low, high, a, b = _parts(batch.column("bytes"), width, gram, part, twice_in.value, mixed_in.value)
-            ids, hashes, base = (batch.column(c).take(pa.array(text)) for c in ("doc_id", "text_hash", "low"))
-            base = base.to_numpy()
-            yield pa.RecordBatch.from_arrays([ids, hashes, *(pa.array(x.view(np.int64)) for x in (base + low, base + high, a, b))], names=["doc_id", "text_hash", "low", "high", "a", "b"])
-
-    split = stored(held.mapInArrow(parts, "doc_id long, text_hash long, low long, high long, a long, b long"))
-    inner = split.groupBy("a", "b").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("latest > earliest")
-    inside = split.groupBy("a", "b", "doc_id", "text_hash").agg(F.min("low").alias("start"), F.max("low").alias("end")).where("end > start")
-    names = ("doc_id", "text_hash", "low", "high")
-    return (
-        later.select(*names)
-        .unionAll(rows.where("again").select(*names))
-        .unionAll(split.join(inner, ["a", "b"]).where("doc_id > earliest").select(*names))
-        .unionAll(split.join(inside.select("a", "b", "doc_id", "text_hash", "start"), ["a", "b", "doc_id", "text_hash"]).where("low > start").select(*names))
-    )
+            lists = batch.column("runs")
+            flat = lists.flatten()
+            run, low, high, a, b = _parts(flat.field("bytes"), width, gram, part, twice_in.value, mixed_in.value)
+            of = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())[run]
+            base = flat.field("low").to_numpy()[run]
+            low, high = base + low, base + high
+            order, again = _again(of, low, a, b)
+            ids, hashes = (batch.column(c).to_numpy()[of[order]] for c in ("doc_id", "text_hash"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), _packed(hashes, low[order], high[order]), pa.array(a[order].view(np.int64)), pa.array(b[order].view(np.int64)), pa.array(again), pa.array(again)], names=NAMES)
+
+    split = stored(held.mapInArrow(parts, ROW))
+    inner = after(split, split.where("not again").groupBy("a", "b").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")))
+    low = F.shiftright("at", 7).bitwiseAND(F.lit((1 << 31) - 1))
+    return outer.unionAll(inner).select("doc_id", F.shiftrightunsigned("at", 38).alias("text26"), low.alias("low"), (low + F.col("at").bitwiseAND(F.lit(127))).alias("high"))
 
 
 def _merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,10 +276,10 @@ def without_repeats(docs: DataFrame, width: int = 100, gram: int = 32, part: int
     fall within a character. Rows that repeat an id and a text count as one document and get the same
     result. Other columns of docs take no part.
     """
-    runs = repeats(docs, width, gram, part, bloom_bits).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    runs = repeats(docs, width, gram, part, bloom_bits).groupBy("doc_id", "text26").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"own": F.coalesce("doc_id", F.lit(LEAST)).cast("long"), "text_hash": F.xxhash64("text")})
-    joined = own.join(runs.withColumnRenamed("doc_id", "own"), ["own", "text_hash"], "left").select("doc_id", "text", "runs")
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"own": F.coalesce("doc_id", F.lit(LEAST)).cast("long"), "text26": F.shiftrightunsigned(F.xxhash64("text"), 38)})
+    joined = own.join(runs.withColumnRenamed("doc_id", "own"), ["own", "text26"], "left").select("doc_id", "text", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
