@@ -20,33 +20,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Only where none is set (tests, a single machine) a temporary one is made."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gridseek-"))
+    return context.getCheckpointDir()
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint, so that a lost executor costs no recomputation.
+    """Cuts lineage with a table in the shared folder, so that a lost executor costs no recomputation.
 
-    The folder is the session's spark.checkpoint.dir. Only where none is set (tests, a single
-    machine) a temporary one is made.
+    Unlike a checkpoint the table is compressed, has sizes that the planner knows, and brings no
+    predicates of its plan along. It is deleted when the program ends.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gridseek-"))
-    return df.checkpoint(eager=True)
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Like durable(), as compressed Parquet in the shared folder: for tables of many rows. Deleted when the program ends."""
+    """Like durable(), and lets go of what led here: its shuffle files go as soon as the driver has collected its garbage."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gridseek-"))
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    # what led here isn't read again: its shuffle files go as soon as the driver has collected its garbage
+    out = durable(df)
     del df
     gc.collect()
-    context._jvm.System.gc()
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -15,7 +15,7 @@ def components(links: DataFrame) -> DataFrame:
     the number of rounds grows with the logarithm of the longest path. Labels and links stay tables.
     """
     both = durable(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = durable(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("component")))
+    labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("component"))
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, "id").select("id", F.least("component", "near").alias("next"), "component")

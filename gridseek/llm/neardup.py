@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridseek.llm import kernels as K
-from gridseek.llm.common import durable
+from gridseek.llm.common import durable, stored
 from gridseek.llm.components import components
 
 #: Members of a node that is compared whole; central members of a large one; further levels.
@@ -104,15 +104,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * same >= percent * (len(x) + len(y) - same) and len(x) > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    size = F.octet_length
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    # sets of too different sizes can't reach it
-    near = met.where((100 * F.least(size("x"), size("y"))) >= percent * F.greatest(size("x"), size("y")))
-    return near.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _pairs(frame: DataFrame, one: str, other: str) -> DataFrame:
-    return frame.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).where("a < b").distinct()
+def _pairs(frame: DataFrame, one: str, n_one: str, other: str, n_other: str, percent: int) -> DataFrame:
+    """Distinct pairs, less those whose sets are too different in size to reach the similarity."""
+    near = frame.where(100 * F.least(n_one, n_other) >= percent * F.greatest(n_one, n_other))
+    return near.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).where("a < b").distinct()
 
 
 def _node_sizes(rows: DataFrame) -> DataFrame:
@@ -140,69 +139,86 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
     columns of docs take no part.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = durable(_signed(texts, width, trees * depth, seed))
+    signed = stored(_signed(texts, width, trees * depth, seed))
     own = signed.where("doc_id is not null and n > 0")
     classes = durable(own.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last")))
-    copies = own.select("doc_id", "k1", "k2").join(classes.where("last > id"), ["k1", "k2"]).where("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    signs = durable(own.join(classes.select("k1", "k2", F.col("id").alias("doc_id")), ["k1", "k2", "doc_id"]).select(F.col("doc_id").alias("id"), "sign").dropDuplicates(["id"]))
+    signs = durable(own.join(classes.select("k1", "k2", F.col("id").alias("doc_id")), ["k1", "k2", "doc_id"]).select(F.col("doc_id").alias("id"), "n", "sign").dropDuplicates(["id"]))
 
-    start = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.col("sign")[t * depth]).alias("node")) for t in range(trees)]))
-    rows = signs.select("id", "sign", start.alias("s")).select("id", "sign", "s.*")
-
-    def token(level: int):
+    def token(tree, level: int):
         """Beyond its own levels a tree takes those of the next trees."""
-        tree = F.pmod(F.col("tree") + level // depth, F.lit(trees))
-        return F.element_at("sign", (tree * depth + level % depth + 1).cast("int"))
-
-    done, names = [], ("node", "id", "tree", "size")
-    for level in range(1, depth + 1):
-        sized = _node_sizes(rows)
-        if level == depth:
+        return F.element_at("sign", (F.pmod(tree + level // depth, F.lit(trees)) * depth + level % depth + 1).cast("int"))
+
+    # the path of a class in each tree, and then only this
+    rows = signs.select("id", "n", "sign", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    for level in range(depth):
+        rows = rows.withColumn(f"p{level}", F.xxhash64(F.col(f"p{level - 1}") if level else F.col("tree"), token(F.col("tree"), level)))
+    rows = rows.drop("sign")
+    names, done = ("node", "id", "n", "tree", "size"), []
+    for level in range(depth):
+        sized = _node_sizes(rows.withColumn("node", F.col(f"p{level}")))
+        if level == depth - 1:
             done.append(sized.select(*names))
             break
-        sized = durable(sized)
+        sized = durable(sized.drop(f"p{level}"))
         done.append(sized.where(F.col("size") <= SMALL).select(*names))
-        rows = sized.where(F.col("size") > SMALL).select("id", "sign", "tree", F.xxhash64("node", token(level)).alias("node"))
+        rows = sized.where(F.col("size") > SMALL).drop("node", "size")
     nodes = done[0]
     for x in done[1:]:
         nodes = nodes.unionAll(x)
-    nodes = durable(nodes)
-    sets = durable(_sets(texts.where("doc_id is not null"), width, K.Bloom.of(nodes.select(F.xxhash64("id").alias("key")), "key", bloom_bits)))
+    nodes = stored(nodes)
+    sets = stored(_sets(texts.where("doc_id is not null"), width, K.Bloom.of(nodes.select(F.xxhash64("id").alias("key")).distinct(), "key", bloom_bits)))
 
     # each member with its node's first or central members
     small, large = nodes.where(F.col("size") <= SMALL), nodes.where(F.col("size") > SMALL)
-    first = small.groupBy("node").agg(F.min("id").alias("hub"))
-    hubs = first.unionAll(_central(large, signs, CENTRAL))
-    tried = durable(_pairs(nodes.join(hubs, "node"), "id", "hub"))
-    links = durable(_confirmed(tried, sets, percent))
+    hubs = small.groupBy("node").agg(F.min("id").alias("hub"))
+    if not large.isEmpty():
+        hubs = hubs.unionAll(_central(large, signs, CENTRAL))
+    hubs = hubs.join(signs.select(F.col("id").alias("hub"), F.col("n").alias("n_hub")), "hub")
+    tried = durable(_pairs(nodes.join(hubs, "node"), "id", "n", "hub", "n_hub", percent))
+    links = stored(_confirmed(tried, sets, percent))
 
     # what is left: nodes whose members are not in one component
     found = components(links)
     for level in range(depth, depth + FURTHER + 1):
-        apart = nodes.select("node", "id", "tree", "size").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        parts = apart.groupBy("node", "component").agg(F.count("*").alias("n"))
-        main = parts.groupBy("node").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-        apart = durable(apart.join(main.select("node", F.col("main.component").alias("main"), (F.col("all") - F.col("main.n")).alias("out")), "node"))
+        apart = nodes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        parts = apart.groupBy("node", "component").agg(F.count("*").alias("m"))
+        main = parts.groupBy("node").agg(F.max_by("component", "m").alias("main"), F.max("m").alias("most"), F.sum("m").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+        apart = durable(apart.join(main.select("node", "main", (F.col("all") - F.col("most")).alias("out")), "node"))
         if apart.isEmpty():
             break
         last = level == depth + FURTHER
         few = F.lit(True) if last else (F.col("out") <= SMALL)
-        outside = apart.where(few & (F.col("component") != F.col("main"))).select("node", F.col("id").alias("other"), F.col("component").alias("theirs"))
-        pairs = _pairs(apart.where(few).join(outside, "node").where("component != theirs"), "id", "other").join(tried, ["a", "b"], "left_anti")
-        pairs = durable(pairs)
-        links = durable(links.unionAll(_confirmed(pairs, sets, percent)).distinct())
-        found = components(links)
+        outside = apart.where(few & (F.col("component") != F.col("main"))).select("node", F.col("id").alias("other"), F.col("n").alias("n_other"), F.col("component").alias("theirs"))
+        pairs = _pairs(apart.where(few).join(outside, "node").where("component != theirs"), "id", "n", "other", "n_other", percent)
+        pairs = durable(pairs.join(tried, ["a", "b"], "left_anti"))
+        more = stored(_confirmed(pairs, sets, percent))
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            found = components(links)
         many = apart.where(~few)
         if last or many.isEmpty():
             break
-        tried = durable(tried.unionAll(pairs))
-        branched = many.select("id", "tree", "node").join(signs, "id").select("id", "tree", F.xxhash64("node", token(level)).alias("node"))
-        nodes = durable(_node_sizes(branched))
-
-    joined = components(links.unionAll(copies))
+        tried = tried.unionAll(pairs)
+        branched = many.select("id", "n", "tree", "node").join(signs.select("id", "sign"), "id")
+        nodes = durable(_node_sizes(branched.withColumn("node", F.xxhash64("node", token(F.col("tree"), level))).drop("sign")).select(*names))
+
+    # all documents of a class have the component of the class
+    of = classes.join(found, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
+    joined = own.select("doc_id", "k1", "k2").join(of, ["k1", "k2"]).select("doc_id", "component")
+    return _resolved(signed, joined)
+
+
+def _resolved(signed: DataFrame, joined: DataFrame) -> DataFrame:
+    """A row for each row of signed. Rows that repeat an id may be in several classes, which it joins."""
+    least = joined.groupBy("doc_id").agg(F.min("component").alias("component"), F.max("component").alias("other"))
+    if not least.where("component < other").isEmpty():
+        ends = joined.join(least.where("component < other"), "doc_id").select(joined["component"].alias("a"), least["component"].alias("b"))
+        merged = components(ends).withColumnRenamed("component", "whole").withColumnRenamed("id", "component")
+        joined = joined.join(merged, "component", "left").select("doc_id", F.coalesce("whole", "component").alias("component"))
+        least = joined.groupBy("doc_id").agg(F.min("component").alias("component"))
     return (
         signed.select("doc_id", F.col("n").alias("n_shingles"))
-        .join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+        .join(least.select("doc_id", "component"), "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
