@@ -1,0 +1 @@
+"""Search over collections of gridded point datasets, as DataFrame plans."""

@@ -1,0 +1 @@
+"""Searches and indexes over tables of cells."""
