@@ -7,10 +7,12 @@ import contextlib
 import gc
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 #: White space of the word rules: space and U+0009 to U+000D.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,7 +40,9 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _paths[out] = path
+    return out
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -51,6 +55,19 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of durable() or stored() that nothing reads any more."""
+    for table_ in tables:
+        _delete(table_.sparkSession, _paths.pop(table_))
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python by so many at once at most, so that a worker's memory stays small; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended before
         jvm = spark.sparkContext._jvm

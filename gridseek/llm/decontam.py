@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridseek.llm import kernels as K
-from gridseek.llm.common import durable
+from gridseek.llm.common import bounded_batches, durable
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOUND = pa.struct([("h", pa.int64()), ("len", pa.int32()), ("pos", pa.int32()), ("lead", pa.int32()), ("ctx", pa.string())])
@@ -134,6 +134,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     items count once by their id. Other columns take no part. docs may be of any size, and so may
     benchmark: its fingerprints are shuffled, never collected.
     """
+    bounded_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").alias("rid"), "text")
     prints = durable(_scanned(items, window, k, list(range(1, window)), None).select(F.col("rid").alias("item_id"), F.explode("found").alias("f")).select("item_id", "f.*"))
     bloom = K.Bloom.of(prints, "h", bloom_bits)

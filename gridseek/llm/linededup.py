@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridseek.llm import kernels as K
-from gridseek.llm.common import durable
+from gridseek.llm.common import bounded_batches, durable
 
 LEAST = -(1 << 63)
 
@@ -71,6 +71,7 @@ def line_deduplicated(docs: DataFrame, window: int = 3) -> DataFrame:
     each other. Blank lines take no part and stay. A null text stays null and an empty one empty, with
     no lines. All columns of docs stay; those named n_lines and n_removed get new values.
     """
+    bounded_batches(docs.sparkSession)
     ids = F.coalesce(F.col("doc_id"), F.lit(LEAST)).cast("long")
     texts = docs.select(ids.alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridseek.llm import kernels as K
-from gridseek.llm.common import durable, stored
+from gridseek.llm.common import bounded_batches, durable, stored
 from gridseek.llm.components import components
 
 #: Members of a node that is compared whole; central members of a large one; further levels.
@@ -139,6 +139,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
     columns of docs take no part.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    bounded_batches(docs.sparkSession)
     signed = stored(_signed(texts, width, trees * depth, seed))
     own = signed.where("doc_id is not null and n > 0")
     classes = durable(own.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last")))

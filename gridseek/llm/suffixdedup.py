@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridseek.llm import kernels as K
-from gridseek.llm.common import durable, stored
+from gridseek.llm.common import bounded_batches, discard, stored
 
 #: Bytes that are handled at once, so that the arrays stay in the processor's cache.
 PIECE_BITS = 17
@@ -107,11 +107,12 @@ def _digits(column: pa.Array, width: int, gram: int, part: int) -> pa.RecordBatc
             digits.append(runs.digit)
             rounds.append(runs.around()[0])
     digit, around = (np.concatenate(x) if x else np.zeros(0, K.U) for x in (digits, rounds))
+    around = around.view(np.int64)  # in the order in which SQL compares them
     order = np.lexsort((around, digit))
     digit, around = digit[order], around[order]
     new = np.flatnonzero(np.append(True, digit[1:] != digit[:-1])) if len(digit) else np.zeros(0, np.int64)
     ends = np.append(new[1:], len(digit))[: len(new)]
-    columns = (digit[new].view(np.int64), ends - new, around[new].view(np.int64), around[ends - 1].view(np.int64))
+    columns = (digit[new].view(np.int64), ends - new, around[new], around[ends - 1])
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["digit", "n", "low", "high"])
 
 
@@ -130,8 +131,10 @@ def _found(texts: DataFrame, column: str, width: int, gram: int, part: int, bloo
         .where("n > 1")
         .select("digit", (F.col("low") != F.col("high")).alias("mixed"))
     )
-    found = durable(found)
-    return tuple(texts.sparkSession.sparkContext.broadcast(K.Bloom.of(x, "digit", bloom_bits)) for x in (found, found.where("mixed")))
+    found = stored(found)
+    filters = tuple(texts.sparkSession.sparkContext.broadcast(K.Bloom.of(x, "digit", bloom_bits)) for x in (found, found.where("mixed")))
+    discard(found)
+    return filters
 
 
 def _runs(column: pa.Array, width: int, gram: int, twice: K.Bloom, mixed: K.Bloom) -> tuple[np.ndarray, ...]:
@@ -200,6 +203,7 @@ def repeats(docs: DataFrame, width: int = 100, gram: int = 32, part: int = 17, b
     if width - gram >= 127:
         raise ValueError("runs may have 127 windows at most")
     spark = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.select(F.coalesce("doc_id", F.lit(LEAST)).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("text_hash", F.xxhash64("text")).withColumn("id_hash", F.xxhash64("doc_id"))
     twice, mixed = _found(texts, "text", width, gram, 0, bloom_bits)
@@ -240,6 +244,7 @@ def repeats(docs: DataFrame, width: int = 100, gram: int = 32, part: int = 17, b
             ids, hashes = (pa.array(batch.column(c).to_numpy()[some]) for c in ("doc_id", "text_hash"))
             yield pa.RecordBatch.from_arrays([ids, hashes, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), each)], names=["doc_id", "text_hash", "runs"])
 
+    discard(rows, classes)
     held = stored(texts.mapInArrow(bytes_of, "doc_id long, text_hash long, runs array<struct<low:long,bytes:binary>>"))
     twice_in, mixed_in = _found(held.select(F.explode("runs.bytes").alias("bytes")), "bytes", width, gram, part, bloom_bits)
 
@@ -257,6 +262,7 @@ def repeats(docs: DataFrame, width: int = 100, gram: int = 32, part: int = 17, b
 
     split = stored(held.mapInArrow(parts, ROW))
     inner = after(split, split.where("not again").groupBy("a", "b").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")))
+    discard(held, split)
     low = F.shiftright("at", 7).bitwiseAND(F.lit((1 << 31) - 1))
     return outer.unionAll(inner).select("doc_id", F.shiftrightunsigned("at", 38).alias("text26"), low.alias("low"), (low + F.col("at").bitwiseAND(F.lit(127))).alias("high"))
 

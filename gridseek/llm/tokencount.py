@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridseek.llm.common import bounded_batches
+
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
 #: Segments and pairs that a worker remembers, and the longest segment that it remembers.
@@ -158,6 +160,7 @@ def token_counts(docs: DataFrame, model_path: str | None = None, limit: int = 40
     other columns of docs take no part. A text is handled as a whole, whatever its length.
     """
     path = model_path or default_model()
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

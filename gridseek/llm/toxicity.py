@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridseek.llm import kernels as K
-from gridseek.llm.common import durable
+from gridseek.llm.common import bounded_batches, durable
 
 BEGINNINGS = (3, 4, 5, 6)
 
@@ -185,6 +185,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 200_000, bits: in
     out. Labels that are null or of a null id take no part; of repeated ones the greatest counts.
     Without labels of both kinds every score is low. Other columns take no part.
     """
+    bounded_batches(docs.sparkSession)
     # texts only, with the id to find labels by
     texts = docs.select("doc_id", F.col("text"), held_out(F.col("doc_id")).alias("held_out"))
     own = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
