@@ -1,0 +1 @@
+"""What plans need besides columns: measured broadcasts and cut lineage."""

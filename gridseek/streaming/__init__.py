@@ -1,0 +1 @@
+"""Standing queries over streams of changed datasets."""
