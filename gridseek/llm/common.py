@@ -80,6 +80,19 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def needed(df: DataFrame, *names: str) -> DataFrame:
-    """Keeps the columns that an operator reads, so that further ones can't clash with its own."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id is among ids (left_semi) or isn't (left_anti)."""
+    (key,) = fresh(docs, "id")
+    right = ids.select(F.col("doc_id").alias(key))
+    return docs.join(right, docs["doc_id"] == right[key], how)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridseek.llm import kernels as K
-from gridseek.llm.common import bounded_batches, durable
+from gridseek.llm.common import bounded_batches, by_id, durable
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOUND = pa.struct([("h", pa.int64()), ("len", pa.int32()), ("pos", pa.int32()), ("lead", pa.int32()), ("ctx", pa.string())])
@@ -191,4 +191,4 @@ def _kept(marked: DataFrame, window: int, k: int, short: list[int], bloom: K.Blo
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs without the documents that hold a window of an item. Rows of a null doc_id, which can't be judged by id, stay."""
     bad = contamination(docs, benchmark, window).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return by_id(docs, bad, "left_anti")

@@ -13,12 +13,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridseek.llm import kernels as K
-from gridseek.llm.common import bounded_batches, durable
+from gridseek.llm.common import bounded_batches, durable, fresh
 
 LEAST = -(1 << 63)
 
@@ -88,20 +89,16 @@ def line_deduplicated(docs: DataFrame, window: int = 3) -> DataFrame:
     groups = ahead.groupBy("a", "b").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("latest > earliest").select("a", "b", "earliest")
     names = ("doc_id", "text_hash", "first")
     repeats = ahead.join(groups, ["a", "b"]).where("doc_id > earliest").select(*names).unionAll(met.where("again").select(*names))
-    runs = repeats.groupBy("doc_id", "text_hash").agg(F.collect_list("first").alias("_runs")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_runs")
-    joined = docs.withColumns({"_id": ids, "_hash": F.xxhash64("text")}).join(runs, ["_id", "_hash"], "left")
-
-    kind = pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64())])
+    own_id, own_hash, runs, done = fresh(docs, "own_id", "own_hash", "runs", "done")
+    found = repeats.groupBy("doc_id", "text_hash").agg(F.collect_list("first").alias(runs)).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), runs)
+    joined = docs.withColumns({own_id: ids, own_hash: F.xxhash64("text")}).join(found, [own_id, own_hash], "left")
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
-    def cut(texts, runs):
-        import pandas as pd
-
-        out = [_cut(t, r, window) for t, r in zip(texts, runs)]
-        return pd.DataFrame(out, columns=[f.name for f in kind])
+    def cut(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_cut(t, r, window) for t, r in zip(texts, runs)], columns=["text", "n_lines", "n_removed"])
 
-    done = joined.withColumn("_cut", cut("text", "_runs"))
-    return done.withColumns({"text": F.col("_cut.text"), "n_lines": F.col("_cut.n_lines"), "n_removed": F.col("_cut.n_removed")}).drop("_id", "_hash", "_runs", "_cut")
+    out = joined.withColumn(done, cut("text", runs))
+    return out.withColumns({c: F.col(done)[c] for c in ("text", "n_lines", "n_removed")}).drop(own_id, own_hash, runs, done)
 
 
 def _cut(text: str | None, runs, window: int) -> tuple[str | None, int, int]:

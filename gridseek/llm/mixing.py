@@ -76,7 +76,7 @@ def schedule(targets: DataFrame, n_slots: int, block: int) -> DataFrame:
 
     # the sources' parts of [0, 1): one row for each source
     rows = targets.select("rank", "low", "high", "target", "source_size").where("target > 0").orderBy("rank").collect()
-    parts = [(r["rank"], r["low"], r["high"], need(int(round(r["target"])), r["source_size"])) for r in rows]
+    parts = [(r["rank"], r["low"], r["high"], need(int(r["target"] + 0.5), r["source_size"])) for r in rows]
     if not parts:
         return spark.createDataFrame([], "slot long, rank int, turn long")
     point = ((F.col("id") + 0.5) * GOLDEN) % 1.0

@@ -3,11 +3,14 @@
 Documents of the same words are one class first. Independent trees then branch the classes: at each
 level a class goes to the child that its minwise token of that level names, so that two classes of
 similarity s stay together with probability s. A node of one class ends, a small node is compared
-whole, and a large one branches on. A large node at full depth holds classes that are mostly alike:
-its members are compared with its central members; if its members are then in one component, no
-further comparison could change the result, and else those outside its main component are compared
-with all others, after more branching where they are many. Links are confirmed on full shingle sets.
-With 10 trees of depth 3 a link of similarity 0.85 meets in none with probability below 1e-4.
+whole, and a large one branches on. A node is first compared with its first member, a large one at
+full depth with its central members. If its members are then in one component, no further
+comparison could change the result. Else a small node is compared between its components, and the
+members of large ones are joined exactly: two sets of that similarity share a token among the first
+few of each in any common order of all tokens, and tokens of a single set come first in ours.
+Links are confirmed on full shingle sets, for pairs that agree in enough minwise tokens (a link of
+similarity 0.85 misses that with probability below 1e-6). With 10 trees of depth 3 a link meets in no
+tree with probability below 1e-4.
 """
 
 from __future__ import annotations
@@ -20,11 +23,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridseek.llm import kernels as K
-from gridseek.llm.common import bounded_batches, durable, stored
+from gridseek.llm.common import bounded_batches, by_id, durable, stored
 from gridseek.llm.components import components
 
-#: Members of a node that is compared whole; central members of a large one; further levels.
-SMALL, CENTRAL, FURTHER = 16, 4, 6
+#: Members of a node that is compared whole; central members that a large one is compared with.
+SMALL, CENTRAL = 16, 2
+#: Numbers of sets from which a token counts as more frequent.
+OFTEN = (2, 4, 16, 64)
 
 
 def _shingled(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -114,6 +119,60 @@ def _pairs(frame: DataFrame, one: str, n_one: str, other: str, n_other: str, per
     return near.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).where("a < b").distinct()
 
 
+def _agreeing(pairs: DataFrame, signs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs that agree in no fewer minwise tokens than five standard deviations below the expectation at the similarity."""
+    share = percent / 100
+    least = int(n * share - 5 * (n * share * (1 - share)) ** 0.5)
+    a, b = (signs.select(F.col("id").alias(c), F.col("sign").alias(f"sign_{c}")) for c in ("a", "b"))
+    same = F.aggregate(F.zip_with("sign_a", "sign_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return pairs.join(a, "a").join(b, "b").where(same >= least).select("a", "b")
+
+
+def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int, bloom_bits: int) -> DataFrame:
+    """Pairs (id, other) of members(id, n, component) in different components that can reach the similarity.
+
+    A set of n tokens shares at least percent of them with any partner, so that a partner has one of its
+    first n - ceil(n * percent / 100) + 1. The order of all tokens: the rarest first, in steps of OFTEN,
+    and then by value. Where the first common token stands in either set bounds how many can follow.
+    """
+    spark = members.sparkSession
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(batch.column("shingles")[i].as_buffer(), dtype=np.int64))], names=["token"])
+
+    own = sets.join(members, "id")
+    counts = stored(own.select("shingles").mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("often")).where(F.col("often") >= OFTEN[0]))
+    steps = spark.sparkContext.broadcast([K.Bloom.of(counts.where(F.col("often") >= least), "token", bloom_bits) for least in OFTEN])
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out, place = [], [], []
+            for i in range(len(batch)):
+                h = np.frombuffer(batch.column("shingles")[i].as_buffer(), dtype=K.U)
+                step = np.sum([b.has(h) for b in steps.value], axis=0)
+                first = np.lexsort((h, step))[: len(h) - -(-len(h) * percent // 100) + 1]
+                met = np.flatnonzero(step[first] > 0)  # others are of this set only
+                out.append(h[first[met]])
+                place.append(met)
+                at.append(np.full(len(met), i))
+            rows = pa.array(np.concatenate(at) if at else np.zeros(0, np.int64))
+            token = (np.concatenate(out) if out else np.zeros(0, K.U)).view(np.int64)
+            columns = [batch.column(c).take(rows) for c in ("id", "n", "component")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(place) if place else np.zeros(0, np.int64)), pa.array(token)], names=["id", "n", "component", "place", "token"])
+
+    lists = stored(own.select("id", "n", "component", "shingles").mapInArrow(firsts, "id long, n long, component long, place long, token long"))
+    # those outside the token's main component against all others
+    parts = lists.groupBy("token", "component").agg(F.count("*").alias("m"))
+    main = parts.groupBy("token").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
+    apart = lists.join(main, "token")
+    outside = apart.where("component != main").select("token", F.col("id").alias("other"), F.col("n").alias("n_other"), F.col("component").alias("theirs"), F.col("place").alias("their_place"))
+    common = F.least(F.col("n") - F.col("place"), F.col("n_other") - F.col("their_place"))
+    near = (F.col("component") != F.col("theirs")) & (100 * common >= percent * (F.col("n") + F.col("n_other") - common))
+    return _pairs(apart.join(outside, "token").where(near), "id", "n", "other", "n_other", percent)
+
+
 def _node_sizes(rows: DataFrame) -> DataFrame:
     """rows of nodes of two members at least, with the node's size. Nodes can be hot: counted with map-side sums and joined."""
     return rows.join(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "node")
@@ -167,7 +226,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
     for x in done[1:]:
         nodes = nodes.unionAll(x)
     nodes = stored(nodes)
-    sets = stored(_sets(texts.where("doc_id is not null"), width, K.Bloom.of(nodes.select(F.xxhash64("id").alias("key")).distinct(), "key", bloom_bits)))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        agreeing = stored(_agreeing(pairs, signs, trees * depth, percent))
+        return stored(_confirmed(agreeing, of(agreeing.select(F.explode(F.array("a", "b")).alias("id"))), percent))
+
+    def of(ids: DataFrame) -> DataFrame:
+        wanted = K.Bloom.of(ids.select(F.xxhash64("id").alias("key")).distinct(), "key", bloom_bits)
+        return stored(_sets(texts.where("doc_id is not null"), width, wanted))
 
     # each member with its node's first or central members
     small, large = nodes.where(F.col("size") <= SMALL), nodes.where(F.col("size") > SMALL)
@@ -175,37 +241,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
     if not large.isEmpty():
         hubs = hubs.unionAll(_central(large, signs, CENTRAL))
     hubs = hubs.join(signs.select(F.col("id").alias("hub"), F.col("n").alias("n_hub")), "hub")
-    tried = durable(_pairs(nodes.join(hubs, "node"), "id", "n", "hub", "n_hub", percent))
-    links = stored(_confirmed(tried, sets, percent))
+    tried = stored(_pairs(nodes.join(hubs, "node"), "id", "n", "hub", "n_hub", percent))
+    links = confirmed(tried)
+    found = components(links)
 
     # what is left: nodes whose members are not in one component
-    found = components(links)
-    for level in range(depth, depth + FURTHER + 1):
-        apart = nodes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        parts = apart.groupBy("node", "component").agg(F.count("*").alias("m"))
-        main = parts.groupBy("node").agg(F.max_by("component", "m").alias("main"), F.max("m").alias("most"), F.sum("m").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-        apart = durable(apart.join(main.select("node", "main", (F.col("all") - F.col("most")).alias("out")), "node"))
-        if apart.isEmpty():
-            break
-        last = level == depth + FURTHER
-        few = F.lit(True) if last else (F.col("out") <= SMALL)
-        outside = apart.where(few & (F.col("component") != F.col("main"))).select("node", F.col("id").alias("other"), F.col("n").alias("n_other"), F.col("component").alias("theirs"))
-        pairs = _pairs(apart.where(few).join(outside, "node").where("component != theirs"), "id", "n", "other", "n_other", percent)
-        pairs = durable(pairs.join(tried, ["a", "b"], "left_anti"))
-        more = stored(_confirmed(pairs, sets, percent))
-        if not more.isEmpty():
-            links = links.unionAll(more)
-            found = components(links)
-        many = apart.where(~few)
-        if last or many.isEmpty():
-            break
-        tried = tried.unionAll(pairs)
-        branched = many.select("id", "n", "tree", "node").join(signs.select("id", "sign"), "id")
-        nodes = durable(_node_sizes(branched.withColumn("node", F.xxhash64("node", token(F.col("tree"), level))).drop("sign")).select(*names))
+    known = nodes.join(found, "id", "left").select("node", "id", "n", "size", F.coalesce("component", "id").alias("component"))
+    apart = known.groupBy("node").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("node")
+    left = stored(known.join(apart, "node"))
+    one = left.where(F.col("size") <= SMALL)
+    other = one.select("node", F.col("id").alias("other"), F.col("n").alias("n_other"), F.col("component").alias("theirs"))
+    pairs = _pairs(one.join(other, "node").where("id < other and component != theirs"), "id", "n", "other", "n_other", percent)
+    members = left.where(F.col("size") > SMALL).select("id", "n", "component").distinct()
+    if not members.isEmpty():
+        pairs = pairs.unionAll(_rare_pairs(members, of(members), percent, bloom_bits)).distinct()
+    more = confirmed(pairs.join(tried, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        found = components(links.unionAll(more))
 
     # all documents of a class have the component of the class
-    of = classes.join(found, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
-    joined = own.select("doc_id", "k1", "k2").join(of, ["k1", "k2"]).select("doc_id", "component")
+    whole = classes.join(found, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
+    joined = own.select("doc_id", "k1", "k2").join(whole, ["k1", "k2"]).select("doc_id", "component")
     return _resolved(signed, joined)
 
 
@@ -228,4 +284,4 @@ def _resolved(signed: DataFrame, joined: DataFrame) -> DataFrame:
 def one_each(docs: DataFrame, percent: int = 85) -> DataFrame:
     """docs with one document of each component, the one of the smallest id."""
     kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return by_id(docs, kept, "left_semi").unionAll(docs.where(docs["doc_id"].isNull()))

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridseek.llm.common import fresh
+
 ROUNDS = 8
 #: Kinds in the order in which they are tried at a place of the text.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -175,9 +177,10 @@ def pseudonymized(docs: DataFrame, key: str) -> DataFrame:
     own = F.col("text")
     some = F.coalesce(own.rlike("[0-9@]"), F.lit(False))  # other texts can't hold anything
     none = F.array().cast("array<string>")
-    found = docs.withColumn("_found", F.when(some, F.regexp_extract_all(own, F.lit(FOUND), F.lit(0))).otherwise(none))
-    held = F.size("_found") > 0
-    new = found.withColumn("_new", F.when(held, F.transform("_found", lambda v: pseudonym(v, F.lit(key)))).otherwise(none))
-    joined = F.array_join(F.zip_with(F.split(own, FOUND, -1), F.col("_new"), lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda x, y: x != y), lambda x: x))
-    return new.withColumns({"n_found": changed, "text": F.when(held, joined).otherwise(own)}).drop("_found", "_new")
+    found_, new_ = fresh(docs, "found", "new")
+    found = docs.withColumn(found_, F.when(some, F.regexp_extract_all(own, F.lit(FOUND), F.lit(0))).otherwise(none))
+    held = F.size(found_) > 0
+    new = found.withColumn(new_, F.when(held, F.transform(found_, lambda v: pseudonym(v, F.lit(key)))).otherwise(none))
+    joined = F.array_join(F.zip_with(F.split(own, FOUND, -1), F.col(new_), lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
+    changed = F.size(F.filter(F.zip_with(found_, new_, lambda x, y: x != y), lambda x: x))
+    return new.withColumns({"n_found": changed, "text": F.when(held, joined).otherwise(own)}).drop(found_, new_)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridseek.llm import kernels as K
-from gridseek.llm.common import bounded_batches, durable
+from gridseek.llm.common import bounded_batches, by_id, durable
 
 BEGINNINGS = (3, 4, 5, 6)
 
@@ -200,12 +200,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 200_000, bits: in
     # of the bounded sample only: a join with it is enough
     frame = docs.sparkSession.createDataFrame(pd.DataFrame({"doc_id": ids, "toxic": toxic}), "doc_id long, toxic long")
     seen_train = scanned.join(F.broadcast(frame), "doc_id")
-    clean = seen_train.where("toxic = 0").select((best - F.ln(1 + F.col("n_words"))).alias("z")).agg(F.avg("z"), F.stddev("z")).first()
-    if clean[0] is not None and clean[1]:
-        model.spread = max(0.5, clean[1] * math.sqrt(6) / math.pi)
-        model.location = clean[0] - 0.5772156649 * model.spread
+    # of at most `sample` rows, in one order, so that sums come out the same
+    clean = seen_train.where("toxic = 0").select("doc_id", (best - F.ln(1 + F.col("n_words"))).alias("z")).toPandas().sort_values(["doc_id", "z"])["z"].to_numpy()
+    if len(clean) > 1:
+        model.spread = max(0.5, float(clean.std(ddof=1)) * math.sqrt(6) / math.pi)
+        model.location = float(clean.mean()) - 0.5772156649 * model.spread
     evidence = F.ln(1 + _evidence(model, significant))
-    fit = seen_train.select("toxic", evidence.alias("x")).toPandas()
+    fit = seen_train.select("doc_id", "toxic", evidence.alias("x")).toPandas().sort_values(["doc_id", "x"])
     if fit["toxic"].nunique() == 2:
         model.intercept, model.slope = _logistic(fit["x"].to_numpy(), fit["toxic"].to_numpy(dtype=float))
     score = 1 / (1 + F.exp(-(F.lit(model.intercept) + F.lit(model.slope) * evidence)))
@@ -215,4 +216,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 200_000, bits: in
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the documents that are predicted toxic. Rows of a null id, which can't be judged by id, stay."""
     bad = toxicity(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return by_id(docs, bad, "left_anti")
