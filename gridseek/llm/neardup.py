@@ -178,11 +178,9 @@ def _node_sizes(rows: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "node")
 
 
-def _central(large: DataFrame, signs: DataFrame, n: int) -> DataFrame:
-    """node and hub: the members whose minwise tokens are the most frequent in their node."""
-    each = large.select("node", "id").join(signs, "id").select("node", "id", F.posexplode("sign").alias("at", "token"))
-    often = each.groupBy("node", "at", "token").agg(F.count("*").alias("often"))
-    score = each.join(often, ["node", "at", "token"]).groupBy("node", "id").agg(F.sum("often").alias("score"))
+def _central(large: DataFrame, n: int) -> DataFrame:
+    """node and hub: the members that share a node with the most others over all trees, which estimates the mean similarity."""
+    score = large.select("node", "id").join(large.groupBy("id").agg(F.sum("size").alias("score")), "id")
     # the best few of each node: first in slices of the node, then among these
     sliced = score.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(64)))
     order = [F.desc("score"), F.asc("id")]
@@ -239,7 +237,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
     small, large = nodes.where(F.col("size") <= SMALL), nodes.where(F.col("size") > SMALL)
     hubs = small.groupBy("node").agg(F.min("id").alias("hub"))
     if not large.isEmpty():
-        hubs = hubs.unionAll(_central(large, signs, CENTRAL))
+        hubs = hubs.unionAll(_central(large, CENTRAL))
     hubs = hubs.join(signs.select(F.col("id").alias("hub"), F.col("n").alias("n_hub")), "hub")
     tried = stored(_pairs(nodes.join(hubs, "node"), "id", "n", "hub", "n_hub", percent))
     links = confirmed(tried)
