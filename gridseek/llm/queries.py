@@ -11,6 +11,7 @@ from gridseek.llm.decontam import contamination
 from gridseek.llm.linededup import line_deduplicated
 from gridseek.llm.mixing import mixed
 from gridseek.llm.neardup import near_duplicates
+from gridseek.llm.oracle import SQL  # noqa: F401  read by the entry points
 from gridseek.llm.pii import pseudonymized
 from gridseek.llm.suffixdedup import without_repeats
 from gridseek.llm.tokencount import token_counts
@@ -74,5 +75,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_top_k": op10_top_k,
 }
-
-SQL: dict[str, str] = {}
