@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridseek.plans.lineage import cut
+from gridseek.plans.sizes import small_side
+
 
 def posting_lists(cells: DataFrame, *more: str) -> DataFrame:
     """cell_id (and further keys) with the sorted ids of the datasets that have it and their number."""
@@ -30,32 +33,34 @@ def leaves(profile: DataFrame, capacity: int = 10, axis: str = "x", depth: int =
 
     A node is a leaf if it has at most `capacity` members or one side would be empty. The root is 1,
     the children of n are 2n and 2n + 1. axis: x, or widest. All nodes of a level are split in one
-    aggregation over the open members, so that the profiles stay on the executors.
+    go: their boxes and sides are sums that are partly made before a shuffle, so that a node of any size,
+    the root first, spreads over all tasks. Nodes that are done leave the loop.
     """
     keys = [c for c in ("source_id", "dataset_id") if c in profile.columns]
     open_ = profile.select(*keys, "pivot_x", "pivot_y", "min_cx", "max_cx", "min_cy", "max_cy", F.lit(1).cast("long").alias("node"))
+    columns, done = open_.columns, []
     for _ in range(depth):
-        own = Window.partitionBy("node")
-        middle = lambda c: (F.min(f"min_{c}").over(own) + F.max(f"max_{c}").over(own)) / 2.0
-        right = F.col("pivot_x") > middle("cx")
+        bounds = [f(f"{m}_{c}").alias(f"all_{m}_{c}") for m, f in (("min", F.min), ("max", F.max)) for c in ("cx", "cy")]
+        large = open_.groupBy("node").agg(*bounds, F.count("*").alias("n")).where(F.col("n") > capacity)
+        right = F.col("pivot_x") > (F.col("all_min_cx") + F.col("all_max_cx")) / 2.0
         if axis == "widest":
-            wide = (F.max("max_cx").over(own) - F.min("min_cx").over(own)) >= (F.max("max_cy").over(own) - F.min("min_cy").over(own))
-            right = F.when(wide, right).otherwise(F.col("pivot_y") > middle("cy"))
-        marked = open_.withColumns({"right": right.cast("int"), "n": F.count("*").over(own)})
-        sides = marked.withColumn("n_right", F.sum("right").over(own))
-        split = (F.col("n") > capacity) & (F.col("n_right") > 0) & (F.col("n_right") < F.col("n"))
-        # the number of levels is the tree's depth; each is cut off, so that plans stay small
-        step = _cut(sides.withColumn("split", split).withColumn("node", F.when(F.col("split"), F.col("node") * 2 + F.col("right")).otherwise(F.col("node"))))
-        open_ = step.select(*open_.columns)
-        if step.where("split").isEmpty():
+            wide = (F.col("all_max_cx") - F.col("all_min_cx")) >= (F.col("all_max_cy") - F.col("all_min_cy"))
+            right = F.when(wide, right).otherwise(F.col("pivot_y") > (F.col("all_min_cy") + F.col("all_max_cy")) / 2.0)
+        sided = open_.join(small_side(large), "node").select(*columns, right.cast("long").alias("right"))
+        both = sided.groupBy("node").agg(F.sum("right").alias("r"), F.count("*").alias("n")).where("r > 0 and r < n").select("node")
+        # each level is cut off, so that plans stay small
+        both = cut(both)
+        done.append(open_.join(small_side(both), "node", "left_anti").select(*keys, F.col("node").alias("leaf_id")))
+        split = sided.join(small_side(both), "node", "left_semi")
+        open_ = cut(split.withColumn("node", F.col("node") * 2 + F.col("right")).select(*columns))
+        if open_.isEmpty():
             break
-    return profile.join(open_.select(*keys, F.col("node").alias("leaf_id")), keys)
-
-
-def _cut(frame: DataFrame) -> DataFrame:
-    from gridseek.plans.lineage import cut
-
-    return cut(frame)
+    else:
+        done.append(open_.select(*keys, F.col("node").alias("leaf_id")))
+    found = done[0]
+    for x in done[1:]:
+        found = found.unionByName(x)
+    return profile.join(found, keys)
 
 
 def tree_nodes(leafed: DataFrame) -> DataFrame:
