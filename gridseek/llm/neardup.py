@@ -165,7 +165,7 @@ def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int, bloom_bits: i
     lists = stored(own.select("id", "n", "component", "shingles").mapInArrow(firsts, "id long, n long, component long, place long, token long"))
     # those outside the token's main component against all others
     parts = lists.groupBy("token", "component").agg(F.count("*").alias("m"))
-    main = parts.groupBy("token").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
+    main = parts.groupBy("token").agg(F.max_by("component", "m").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
     apart = lists.join(main, "token")
     outside = apart.where("component != main").select("token", F.col("id").alias("other"), F.col("n").alias("n_other"), F.col("component").alias("theirs"), F.col("place").alias("their_place"))
     common = F.least(F.col("n") - F.col("place"), F.col("n_other") - F.col("their_place"))
