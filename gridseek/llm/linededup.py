@@ -84,11 +84,12 @@ def line_deduplicated(docs: DataFrame, window: int = 3) -> DataFrame:
 
     windows = durable(texts.mapInArrow(run, "doc_id long, text_hash long, first long, print long, leads boolean, a long, b long, again boolean"))
     shared = windows.where("leads").groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-    met = durable(windows.join(shared, "print").drop("print", "leads"))
+    # tables of their own, so that both sides of the joins are plain shuffles, of which Spark splits hot keys
+    met = durable(windows.join(durable(shared), "print").drop("print", "leads"))
     ahead = met.where("not again")
     groups = ahead.groupBy("a", "b").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("latest > earliest").select("a", "b", "earliest")
     names = ("doc_id", "text_hash", "first")
-    repeats = ahead.join(groups, ["a", "b"]).where("doc_id > earliest").select(*names).unionAll(met.where("again").select(*names))
+    repeats = ahead.join(durable(groups), ["a", "b"]).where("doc_id > earliest").select(*names).unionAll(met.where("again").select(*names))
     own_id, own_hash, runs, done = fresh(docs, "own_id", "own_hash", "runs", "done")
     found = repeats.groupBy("doc_id", "text_hash").agg(F.collect_list("first").alias(runs)).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), runs)
     joined = docs.withColumns({own_id: ids, own_hash: F.xxhash64("text")}).join(found, [own_id, own_hash], "left")

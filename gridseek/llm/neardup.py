@@ -166,7 +166,7 @@ def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int, bloom_bits: i
     # those outside the token's main component against all others
     parts = lists.groupBy("token", "component").agg(F.count("*").alias("m"))
     main = parts.groupBy("token").agg(F.max_by("component", "m").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
-    apart = lists.join(main, "token")
+    apart = lists.join(durable(main), "token")
     outside = apart.where("component != main").select("token", F.col("id").alias("other"), F.col("n").alias("n_other"), F.col("component").alias("theirs"), F.col("place").alias("their_place"))
     common = F.least(F.col("n") - F.col("place"), F.col("n_other") - F.col("their_place"))
     near = (F.col("component") != F.col("theirs")) & (100 * common >= percent * (F.col("n") + F.col("n_other") - common))
@@ -174,8 +174,11 @@ def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int, bloom_bits: i
 
 
 def _node_sizes(rows: DataFrame) -> DataFrame:
-    """rows of nodes of two members at least, with the node's size. Nodes can be hot: counted with map-side sums and joined."""
-    return rows.join(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "node")
+    """rows of nodes of two members at least, with the node's size.
+
+    The sizes are a table of their own, so that both sides of the join are plain shuffles, of which Spark splits hot nodes.
+    """
+    return rows.join(durable(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")), "node")
 
 
 def _central(large: DataFrame, n: int) -> DataFrame:
@@ -245,7 +248,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
 
     # what is left: nodes whose members are not in one component
     known = nodes.join(found, "id", "left").select("node", "id", "n", "size", F.coalesce("component", "id").alias("component"))
-    apart = known.groupBy("node").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("node")
+    apart = durable(known.groupBy("node").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("node"))
     left = stored(known.join(apart, "node"))
     one = left.where(F.col("size") <= SMALL)
     other = one.select("node", F.col("id").alias("other"), F.col("n").alias("n_other"), F.col("component").alias("theirs"))

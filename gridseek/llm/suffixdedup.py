@@ -261,8 +261,9 @@ def repeats(docs: DataFrame, width: int = 100, gram: int = 32, part: int = 17, b
             yield pa.RecordBatch.from_arrays([pa.array(ids), _packed(hashes, low[order], high[order]), pa.array(a[order].view(np.int64)), pa.array(b[order].view(np.int64)), pa.array(again), pa.array(again)], names=NAMES)
 
     split = stored(held.mapInArrow(parts, ROW))
-    inner = after(split, split.where("not again").groupBy("a", "b").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")))
-    discard(held, split)
+    parts_of = stored(split.where("not again").groupBy("a", "b").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("latest > earliest"))
+    inner = after(split, parts_of)
+    discard(held, split, parts_of)
     low = F.shiftright("at", 7).bitwiseAND(F.lit((1 << 31) - 1))
     return outer.unionAll(inner).select("doc_id", F.shiftrightunsigned("at", 38).alias("text26"), low.alias("low"), (low + F.col("at").bitwiseAND(F.lit(127))).alias("high"))
 
