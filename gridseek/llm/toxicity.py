@@ -3,7 +3,8 @@
 A word stands for its most telling feature: itself or one of its beginnings. Features are hashed into a
 fixed number of buckets. Their log-odds between toxic and clean documents have a Dirichlet prior in
 proportion to the counts in all documents; only features whose likelihood ratio is significant
-score, and each other word costs `drift`. A linear-time scan finds all maximal segments. A Gumbel
+score, and of these only such as keep being significant when each pair of neighbouring words counts once:
+copies of a document repeat its words with their neighbours, and say nothing new. Each other word costs `drift`. A linear-time scan finds all maximal segments. A Gumbel
 distribution, fitted to the best segments of clean documents less their expected growth with the
 logarithm of the length, turns segment scores to p-values; a logistic curve over the summed evidence of
 the significant segments gives the score.
@@ -89,15 +90,49 @@ def _counts(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, bits: int) -> t
     return tuple(out)
 
 
+def _ratio(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+    """Likelihood ratio of the two counts against the share of toxic documents."""
+    both = toxic + clean
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2 * (np.where(toxic > 0, toxic * np.log(toxic / (both * share)), 0) + np.where(clean > 0, clean * np.log(clean / (both * (1 - share))), 0))
+
+
 def _weights(seen: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, prior: float, least: float) -> np.ndarray:
     """Log-odds of features that toxic documents hold significantly more often."""
     alpha = prior * seen / max(1, seen.sum()) + 1e-2
     odds = np.log((toxic + alpha) / (n_toxic + prior)) - np.log((clean + alpha) / (n_clean + prior))
     share = n_toxic / max(1, n_toxic + n_clean)
-    both = toxic + clean
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = 2 * (np.where(toxic > 0, toxic * np.log(toxic / (both * share)), 0) + np.where(clean > 0, clean * np.log(clean / (both * (1 - share))), 0))
-    return np.where((ratio >= least) & (odds > 1) & (toxic > 0), np.minimum(odds, 8), 0).astype(np.float32)
+    return np.where((_ratio(toxic, clean, share) >= least) & (odds > 1) & (toxic > 0), np.minimum(odds, 8), 0).astype(np.float32)
+
+
+def _contexts(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, bits: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By wanted bucket: distinct pairs of the word before and the word after, in toxic and in clean labelled documents."""
+    shared = docs.sparkSession.sparkContext.broadcast((ids, toxic, wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, toxic, wanted = shared.value
+        for batch in batches:
+            own = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            if not len(ids):
+                continue
+            at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+            kind = np.where(ids[at] == own, toxic[at], -1)
+            found = [np.zeros((0, 3), dtype=np.int64)]
+            for i, _, text, buckets in _features(batch.column("text"), bits):
+                size = 1 << bits
+                before, after = np.full(len(text), size), np.full(len(text), size)
+                same = text[1:] == text[:-1]
+                before[1:][same], after[:-1][same] = buckets[0, :-1][same], buckets[0, 1:][same]
+                of = kind[i + text]
+                row, word = np.nonzero(wanted[buckets] & (of >= 0))
+                found.append(np.unique(np.stack([buckets[row, word], before[word] << bits + 1 | after[word], of[word]], axis=1), axis=0))
+            rows = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, j]) for j in range(3)], names=["bucket", "context", "toxic"])
+
+    rows = docs.mapInArrow(run, "bucket long, context long, toxic long").distinct().groupBy("bucket", "toxic").agg(F.count("*").alias("n")).toArrow()
+    out = np.zeros((2, len(wanted)), dtype=np.int64)
+    out[rows["toxic"].to_numpy(), rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    return out[1], out[0]
 
 
 def maximal_segments(at: list[int], scores: list[float], drift: float) -> list[tuple[int, int, float]]:
@@ -176,7 +211,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 200_000, bits: int = 19, drift: float = 0.05, prior: float = 50.0, least: float = 18.0, significant: float = 0.05) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 200_000, bits: int = 19, drift: float = 0.05, prior: float = 50.0, least: float = 18.0, diverse: float = 0.4, significant: float = 0.05) -> DataFrame:
     """doc_id, held_out, score, predicted, n_words and segments of each row of docs.
 
     Labels are learned from at most `sample` rows (those of the least hash of their id) whose
@@ -194,7 +229,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 200_000, bits: in
     numbered = texts.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
     seen, y1, y0 = _counts(numbered, ids, toxic, bits)
     weights = _weights(seen, y1, y0, int(toxic.sum()), int((1 - toxic).sum()), prior, least)
-    model = Model(weights, drift)
+    fresh1, fresh0 = _contexts(numbered, ids, toxic, bits, weights > 0)
+    share = float(toxic.mean()) if len(toxic) else 0.0
+    lasting = (_ratio(fresh1, fresh0, share) >= least) & (fresh1 >= diverse * y1) if share else np.zeros(len(weights), bool)
+    model = Model(np.where(lasting, weights, 0).astype(np.float32), drift)
     scanned = durable(_segments(texts, model, bits))
     best = F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0)).alias("best")
     # of the bounded sample only: a join with it is enough
