@@ -260,6 +260,16 @@ def _top_sql(table: str, k: int = 5) -> str:
     return f"(select a.dataset_id, count(*) as overlap from {table} a join (select cx, cy from {table} where dataset_id=1) q using (cx, cy) where a.dataset_id != 1 group by 1 order by 2 desc, 1 limit {k})"
 
 
+def _leaves_sql(levels: int = 24, capacity: int = 10) -> str:
+    """The tree level by level; a leaf stays as it is."""
+    parts = [f"with {_CELLS}, {_BOXES}, l0 as (select *, cast(1 as bigint) as node from boxes)"]
+    for i in range(1, levels + 1):
+        parts.append(f"s{i} as (select *, count(*) over (partition by node) as n, case when pivot_x > (min(min_cx) over (partition by node)+max(max_cx) over (partition by node))/2e0 then 1 else 0 end as r from l{i - 1})")
+        parts.append(f"t{i} as (select *, sum(r) over (partition by node) as nr from s{i})")
+        parts.append(f"l{i} as materialized (select dataset_id, min_cx, min_cy, max_cx, max_cy, pivot_x, case when n > {capacity} and nr > 0 and nr < n then node*2+r else node end as node from t{i})")
+    return ", ".join(parts) + f", leafed as (select * from l{levels})"
+
+
 _ENTERED = f"with {_CH} select * from {_top_sql('after')} n where dataset_id not in (select dataset_id from {_top_sql('before')})"
 _ROWS = ", ".join("(" + ", ".join("null" if v is None else f"'{v}'" for v in r) + ")" for r in RAW)
 _RECT = ", ".join(f"('{r[0]}', " + ", ".join(f"{v}e0" for v in r[1:]) + ")" for r in RECTANGLES)
@@ -305,4 +315,6 @@ SQL: dict[str, str] = {
     "update_moved": f"with {_CH}, o as (select dataset_id, {_BOX} from before group by 1), n as (select dataset_id, {_BOX} from after group by 1) select n.dataset_id from n left join o using (dataset_id) where o.min_cx is distinct from n.min_cx or o.min_cy is distinct from n.min_cy or o.max_cx is distinct from n.max_cx or o.max_cy is distinct from n.max_cy",
     "standing_delta": _ENTERED,
     "streaming_updates": _ENTERED,
+    "kd_leaves": f"{_leaves_sql()} select node as leaf_id, count(*) as n_datasets from leafed group by 1",
+    "tree_nodes": f"{_leaves_sql()}, above as (select node >> i as node, i = 0 as own, min_cx, min_cy, max_cx, max_cy from (select *, unnest(range(0, 40)) as i from leafed) where node >> i > 0) select node, bool_or(own) as is_leaf, min(min_cx) as min_cx, min(min_cy) as min_cy, max(max_cx) as max_cx, max(max_cy) as max_cy, count(*) as n_datasets from above group by 1",
 }
