@@ -3,8 +3,9 @@
 A word stands for its most telling feature: itself or one of its beginnings. Features are hashed into a
 fixed number of buckets. Their log-odds between toxic and clean documents have a Dirichlet prior in
 proportion to the counts in all documents; only features whose likelihood ratio is significant
-score, and of these only such as keep being significant when each pair of neighbouring words counts once:
-copies of a document repeat its words with their neighbours, and say nothing new. Each other word costs `drift`. A linear-time scan finds all maximal segments. A Gumbel
+score, and of these only such as keep being significant when each pair of neighbouring words counts once,
+and have pairs enough for the texts that hold them. Labelled copies, which are texts of the same words in the same
+order, count as one text in all of this: they say nothing new. Each other word costs `drift`. A linear-time scan finds all maximal segments. A Gumbel
 distribution, fitted to the best segments of clean documents less their expected growth with the
 logarithm of the length, turns segment scores to p-values; a logistic curve over the summed evidence of
 the significant segments gives the score.
@@ -60,30 +61,62 @@ def _features(column: pa.Array, bits: int) -> Iterator[tuple[int, np.ndarray, np
         yield i, np.bincount(text, minlength=len(offsets) - 1), text, buckets
 
 
-def _counts(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
-    """By bucket: occurrences in all documents; labelled documents with the feature, toxic and clean."""
-    shared = docs.sparkSession.sparkContext.broadcast((ids, toxic))
+def _wordings(per: np.ndarray, buckets: np.ndarray, bits: int) -> np.ndarray:
+    """A hash of the words of each text in their order; copies have equal ones."""
+    first = np.cumsum(per) - per
+    place = np.arange(buckets.shape[1]) - np.repeat(first, per)
+    h = K.mix(K.mix((buckets[0] << bits | buckets[-1]).view(K.U)) + place.astype(K.U))
+    total = np.zeros(len(h) + 1, dtype=K.U)
+    np.cumsum(h, out=total[1:])
+    return (total[first + per] - total[first]).view(np.int64)
+
+
+def _labelled(docs: DataFrame, frame: DataFrame, bits: int) -> pd.DataFrame:
+    """wording, toxic and copies of the texts that the labels are of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wording = np.zeros(len(batch), dtype=np.int64)
+            for i, per, _, buckets in _features(batch.column("text"), bits):
+                wording[i : i + len(per)] = _wordings(per, buckets, bits)
+            yield pa.RecordBatch.from_arrays([pa.array(wording), batch.column("toxic")], names=["wording", "toxic"])
+
+    # of the bounded sample only: a join with it is enough
+    rows = docs.join(F.broadcast(frame), "doc_id").select("text", "toxic").mapInArrow(run, "wording long, toxic long")
+    return rows.groupBy("wording", "toxic").agg(F.count("*").alias("copies")).toPandas().sort_values(["toxic", "wording"])
+
+
+def _counts(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, bits: int, texts: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """By bucket: occurrences in all documents; different labelled texts with the feature, toxic and clean."""
+    # each of n copies counts as one n-th of a text
+    copies = [(t["wording"].to_numpy(), t["copies"].to_numpy()) for t in (texts[texts["toxic"] == y] for y in (0, 1))]
+    shared = docs.sparkSession.sparkContext.broadcast((ids, toxic, copies))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, toxic = shared.value
+        ids, toxic, copies = shared.value
         size = 1 << bits
-        seen, by = np.zeros(size, dtype=np.int64), np.zeros((2, size), dtype=np.int64)
+        seen, by = np.zeros(size, dtype=np.int64), np.zeros((2, size))
         for batch in batches:
             own = batch.column("doc_id").to_numpy(zero_copy_only=False)
             at = np.minimum(np.searchsorted(ids, own), max(0, len(ids) - 1))
             known = ids[at] == own if len(ids) else np.zeros(len(own), bool)
             kind = np.where(known, toxic[at], -1) if len(ids) else np.full(len(own), -1)
-            for i, _, text, buckets in _features(batch.column("text"), bits):
+            for i, per, text, buckets in _features(batch.column("text"), bits):
                 seen += np.bincount(buckets.ravel(), minlength=size)
-                of = kind[i + text]
+                of, wording = kind[i + text], _wordings(per, buckets, bits)
                 for y in (0, 1):
                     some = of == y
+                    if not some.any():
+                        continue
+                    hashes, n = copies[y]
+                    share = 1 / n[np.minimum(np.searchsorted(hashes, wording), len(n) - 1)]
                     pairs = np.unique((text[some].astype(np.int64) << bits | buckets[:, some]).ravel())
-                    by[y] += np.bincount(pairs & (size - 1), minlength=size)
+                    by[y] += np.bincount(pairs & (size - 1), share[pairs >> bits], minlength=size)
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, seen[some], by[1][some], by[0][some])], names=["bucket", "seen", "toxic", "clean"])
 
-    rows = docs.mapInArrow(run, "bucket long, seen long, toxic long, clean long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("seen", "toxic", "clean")]).toArrow()
+    whole = [F.sum("seen").alias("seen"), *[F.round(F.sum(c)).cast("long").alias(c) for c in ("toxic", "clean")]]
+    rows = docs.mapInArrow(run, "bucket long, seen long, toxic double, clean double").groupBy("bucket").agg(*whole).toArrow()
     out = np.zeros((3, 1 << bits), dtype=np.int64)
     for row, c in enumerate(("seen", "toxic", "clean")):
         out[row][rows["bucket"].to_numpy()] = rows[c].to_numpy()
@@ -161,17 +194,17 @@ def maximal_segments(at: list[int], scores: list[float], drift: float) -> list[t
 
 
 def _segments(docs: DataFrame, model: Model, bits: int) -> DataFrame:
-    """doc_id, held_out, n_words and segments of each row of docs."""
+    """doc_id, held_out, n_words, segments and wording of each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.drift))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, drift = shared.value
         for batch in batches:
-            n_words = np.zeros(len(batch), dtype=np.int64)
+            n_words, wording = np.zeros((2, len(batch)), dtype=np.int64)
             segments: list[list] = [[] for _ in range(len(batch))]
             for i, per, text, buckets in _features(batch.column("text"), bits):
-                n_words[i : i + len(per)] = per
+                n_words[i : i + len(per)], wording[i : i + len(per)] = per, _wordings(per, buckets, bits)
                 best = weights[buckets].max(axis=0) if len(text) else np.zeros(0, np.float32)
                 some = np.flatnonzero(best > 0)
                 first = np.cumsum(per) - per
@@ -181,9 +214,9 @@ def _segments(docs: DataFrame, model: Model, bits: int) -> DataFrame:
                     t = of[a]
                     segments[i + t] = [{"low": x, "high": y, "score": s} for x, y, s in maximal_segments((some[a:b] - first[t]).tolist(), best[some[a:b]].tolist(), drift)]
             found = pa.array(segments, pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32()), ("score", pa.float64())])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n_words), found], names=["doc_id", "held_out", "n_words", "segments"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n_words), found, pa.array(wording)], names=["doc_id", "held_out", "n_words", "segments", "wording"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_words long, segments array<struct<low:int,high:int,score:double>>")
+    return docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_words long, segments array<struct<low:int,high:int,score:double>>, wording long")
 
 
 def _evidence(model: Model, significant: float) -> Column:
@@ -215,7 +248,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 200_000, bits: in
     """doc_id, held_out, score, predicted, n_words and segments of each row of docs.
 
     Labels are learned from at most `sample` rows (those of the least hash of their id) whose
-    documents are not held out; counts for the prior and scores are of all documents. Null and empty
+    documents are not held out, copies once; counts for the prior and scores are of all documents. Null and empty
     texts have no words, no segments and the lowest score. Rows of a null id are scored and not held
     out. Labels that are null or of a null id take no part; of repeated ones the greatest counts.
     Without labels of both kinds every score is low. Other columns take no part.
@@ -227,24 +260,25 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 200_000, bits: in
     train = own.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas().sort_values("doc_id")
     ids, toxic = train["doc_id"].to_numpy(dtype=np.int64), (train["toxic"].to_numpy() > 0).astype(np.int64)
     numbered = texts.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
-    seen, y1, y0 = _counts(numbered, ids, toxic, bits)
-    weights = _weights(seen, y1, y0, int(toxic.sum()), int((1 - toxic).sum()), prior, least)
+    frame = docs.sparkSession.createDataFrame(pd.DataFrame({"doc_id": ids, "toxic": toxic}), "doc_id long, toxic long")
+    own_texts = _labelled(numbered, frame, bits)
+    seen, y1, y0 = _counts(numbered, ids, toxic, bits, own_texts)
+    n_toxic, n_clean = (int((own_texts["toxic"] == y).sum()) for y in (1, 0))
+    weights = _weights(seen, y1, y0, n_toxic, n_clean, prior, least)
     fresh1, fresh0 = _contexts(numbered, ids, toxic, bits, weights > 0)
-    share = float(toxic.mean()) if len(toxic) else 0.0
+    share = n_toxic / max(1, n_toxic + n_clean)
     lasting = (_ratio(fresh1, fresh0, share) >= least) & (fresh1 >= diverse * y1) if share else np.zeros(len(weights), bool)
     model = Model(np.where(lasting, weights, 0).astype(np.float32), drift)
     scanned = durable(_segments(texts, model, bits))
     best = F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0)).alias("best")
-    # of the bounded sample only: a join with it is enough
-    frame = docs.sparkSession.createDataFrame(pd.DataFrame({"doc_id": ids, "toxic": toxic}), "doc_id long, toxic long")
     seen_train = scanned.join(F.broadcast(frame), "doc_id")
-    # of at most `sample` rows, in one order, so that sums come out the same
-    clean = seen_train.where("toxic = 0").select("doc_id", (best - F.ln(1 + F.col("n_words"))).alias("z")).toPandas().sort_values(["doc_id", "z"])["z"].to_numpy()
+    # of at most `sample` rows, copies once, in one order, so that sums come out the same
+    clean = seen_train.where("toxic = 0").select("wording", (best - F.ln(1 + F.col("n_words"))).alias("z")).distinct().toPandas().sort_values(["wording", "z"])["z"].to_numpy()
     if len(clean) > 1:
         model.spread = max(0.5, float(clean.std(ddof=1)) * math.sqrt(6) / math.pi)
         model.location = float(clean.mean()) - 0.5772156649 * model.spread
     evidence = F.ln(1 + _evidence(model, significant))
-    fit = seen_train.select("doc_id", "toxic", evidence.alias("x")).toPandas().sort_values(["doc_id", "x"])
+    fit = seen_train.select("wording", "toxic", evidence.alias("x")).distinct().toPandas().sort_values(["wording", "toxic", "x"])
     if fit["toxic"].nunique() == 2:
         model.intercept, model.slope = _logistic(fit["x"].to_numpy(), fit["toxic"].to_numpy(dtype=float))
     score = 1 / (1 + F.exp(-(F.lit(model.intercept) + F.lit(model.slope) * evidence)))

@@ -335,6 +335,26 @@ def test_labels_of_held_out_rows_change_nothing(spark):
     assert counted(toxicity.toxicity(docs, marks), "doc_id", "score") == counted(toxicity.toxicity(docs, flipped), "doc_id", "score")
 
 
+def test_toxic_copies_do_not_hide_the_words_they_share(spark):
+    rng = random.Random(6)
+    bad = ["vileone", "vileother", "nastier"]
+
+    def text(marks):
+        words = prose(rng, rng.randint(2, 8)).split(" ")
+        for m in marks:
+            words.insert(rng.randrange(len(words)), m)
+        return " ".join(words)
+
+    rows = [(i, text(rng.choices(bad, k=3) if i % 6 == 0 else []), int(i % 6 == 0)) for i in range(600)]
+    copied = text(bad)
+    rows += [(600 + i, copied if i % 2 else copied.replace(" ", "  ").upper(), 1) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    got = toxicity.toxicity(frame.drop("toxic"), frame.drop("text")).collect()
+    truth = {i: t for i, _, t in rows}
+    assert len(got) == len(rows) and all(r.predicted == truth[r.doc_id] for r in got)
+    assert toxicity.without_toxic(frame, frame.drop("text")).count() == 500
+
+
 def test_maximal_segments():
     """The definition: of all contiguous runs the best one, then the same to its left and its right."""
 
