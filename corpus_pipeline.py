@@ -21,9 +21,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines go; n_chars follows the text."""
+    """Later repeats of runs of three lines, or of fewer with 50 words, go, and of whole texts of fewer; n_chars follows the text."""
     columns = docs.columns
-    return line_deduplicated(docs).withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+    return line_deduplicated(docs, words=50).withColumn("n_chars", F.length("text").cast("long")).select(*columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

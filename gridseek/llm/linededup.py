@@ -37,38 +37,54 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[keep], ends[keep], text[keep]
 
 
-def _windows(column: pa.Array, window: int) -> tuple[np.ndarray, ...]:
-    """(text, first line, fingerprint, leads, key, key, again) of each window; leads: the first one of its fingerprint's place."""
+def _windows(column: pa.Array, window: int, words: int | None) -> tuple[np.ndarray, ...]:
+    """(text, first line, lines, fingerprint, leads, key, key, again) of each window; leads: the first one of its fingerprint's place.
+
+    With words also shorter runs of so many words, and whole texts of fewer lines, each its own fingerprint.
+    """
     out = []
     for i, _, data, offsets in K.chunks(column):
         starts, ends, text = _lines(data, offsets)
-        n = len(starts) - window + 1
-        if n <= 0:
-            continue
-        h = K.span_hashes(data, starts, ends)
-        a, b = (K.grams(x, window, K.BASE2) for x in (h, K.span_hashes(data, starts, ends, K.BASE2)))
-        place = np.argmin(np.stack([h[j : j + n] for j in range(window)]), axis=0) + np.arange(n)
-        whole = np.flatnonzero(text[:n] == text[window - 1 :])
+        h, again_h = K.span_hashes(data, starts, ends), K.span_hashes(data, starts, ends, K.BASE2)
         per = np.bincount(text, minlength=len(offsets) - 1)
-        first = whole - (np.cumsum(per) - per)[text[whole]]
-        at = place[whole]
-        leads = np.append(True, at[1:] != at[:-1]) if len(at) else np.zeros(0, bool)
-        out.append((i + text[whole], first, h[at], leads, a[whole], b[whole]))
+        before = np.cumsum(per) - per
+        for size in range(window if words is None else 1, window + 1):
+            n = len(starts) - size + 1
+            if n <= 0:
+                continue
+            a, b = (K.grams(x, size, K.BASE2) for x in (h, again_h))
+            whole = np.flatnonzero(text[:n] == text[size - 1 :])
+            if size == window:
+                place = np.argmin(np.stack([h[j : j + n] for j in range(window)]), axis=0) + np.arange(n)
+                at = place[whole]
+                leads = np.append(True, at[1:] != at[:-1]) if len(at) else np.zeros(0, bool)
+                kinds = [(whole, h[at], leads, K.U(0))]
+            else:
+                spaced = K.words(data, offsets, K.SOLID)[0]
+                long = np.searchsorted(spaced, ends[whole + size - 1]) - np.searchsorted(spaced, starts[whole]) >= words
+                kinds = []
+                for some, kind in ((long, size), (per[text[whole]] == size, window + size)):
+                    at, own = whole[some], K.mix(np.array([kind], dtype=K.U))[0]
+                    kinds.append((at, a[at] ^ own, np.ones(len(at), bool), own))
+            for at, prints, leads, own in kinds:
+                out.append((i + text[at], at - before[text[at]], np.full(len(at), size), prints, leads, a[at] ^ own, b[at] ^ own))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, K.U, bool, K.U, K.U, bool))
-    text, first, h, leads, a, b = (np.concatenate(x) for x in zip(*out))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, K.U, bool, K.U, K.U, bool))
+    text, first, size, h, leads, a, b = (np.concatenate(x) for x in zip(*out))
     order = np.lexsort((first, b, a, text))
-    text, first, h, leads, a, b = (x[order] for x in (text, first, h, leads, a, b))
+    text, first, size, h, leads, a, b = (x[order] for x in (text, first, size, h, leads, a, b))
     again = np.zeros(len(text), dtype=bool)
     again[1:] = (text[1:] == text[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    return text, first, h, leads, a, b, again
+    return text, first, size, h, leads, a, b, again
 
 
-def line_deduplicated(docs: DataFrame, window: int = 3) -> DataFrame:
+def line_deduplicated(docs: DataFrame, window: int = 3, words: int | None = None) -> DataFrame:
     """docs with each text less its repeated runs of at least `window` lines, and n_lines and n_removed (lines that aren't blank).
 
     A line goes if it is in a window of lines that also starts earlier: in a document of smaller
-    doc_id (null is the smallest), or before in the same text. Rows of equal doc_id are not earlier than
+    doc_id (null is the smallest), or before in the same text. With words, a run of fewer lines that hold so
+    many words between white space is a window too, and so is a text of fewer lines than window, which repeats
+    whole texts only. Rows of equal doc_id are not earlier than
     each other. Blank lines take no part and stay. A null text stays null and an empty one empty, with
     no lines. All columns of docs stay; those named n_lines and n_removed get new values.
     """
@@ -78,20 +94,20 @@ def line_deduplicated(docs: DataFrame, window: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, first, h, leads, a, b, again = _windows(batch.column("text"), window)
+            text, first, size, h, leads, a, b, again = _windows(batch.column("text"), window, words)
             own = [pa.array(batch.column(c).to_numpy()[text]) for c in ("doc_id", "text_hash")]
-            yield pa.RecordBatch.from_arrays([*own, *(pa.array(x.view(np.int64)) for x in (first, h)), pa.array(leads), *(pa.array(x.view(np.int64)) for x in (a, b)), pa.array(again)], names=["doc_id", "text_hash", "first", "print", "leads", "a", "b", "again"])
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(x.view(np.int64)) for x in (first, size, h)), pa.array(leads), *(pa.array(x.view(np.int64)) for x in (a, b)), pa.array(again)], names=["doc_id", "text_hash", "first", "size", "print", "leads", "a", "b", "again"])
 
-    windows = durable(texts.mapInArrow(run, "doc_id long, text_hash long, first long, print long, leads boolean, a long, b long, again boolean"))
+    windows = durable(texts.mapInArrow(run, "doc_id long, text_hash long, first long, size long, print long, leads boolean, a long, b long, again boolean"))
     shared = windows.where("leads").groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
     # tables of their own, so that both sides of the joins are plain shuffles, of which Spark splits hot keys
     met = durable(windows.join(durable(shared), "print").drop("print", "leads"))
     ahead = met.where("not again")
     groups = ahead.groupBy("a", "b").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("latest > earliest").select("a", "b", "earliest")
-    names = ("doc_id", "text_hash", "first")
+    names = ("doc_id", "text_hash", "first", "size")
     repeats = ahead.join(durable(groups), ["a", "b"]).where("doc_id > earliest").select(*names).unionAll(met.where("again").select(*names))
     own_id, own_hash, runs, done = fresh(docs, "own_id", "own_hash", "runs", "done")
-    found = repeats.groupBy("doc_id", "text_hash").agg(F.collect_list("first").alias(runs)).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), runs)
+    found = repeats.groupBy("doc_id", "text_hash").agg(F.collect_list(F.col("first") * window + F.col("size") - 1).alias(runs)).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), runs)
     joined = docs.withColumns({own_id: ids, own_hash: F.xxhash64("text")}).join(found, [own_id, own_hash], "left")
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
@@ -110,7 +126,9 @@ def _cut(text: str | None, runs, window: int) -> tuple[str | None, int, int]:
     starts, _, _ = _lines(data, np.array([0, len(data)]))
     if runs is None or not len(runs):
         return text, len(starts), 0
-    gone = np.unique((np.asarray(runs)[:, None] + np.arange(window)).ravel())
+    first, more = np.divmod(np.asarray(runs), window)  # first line, and lines after it
+    run = np.arange(window)
+    gone = np.unique((first[:, None] + run)[run <= more[:, None]])
     lines = raw.split(b"\n")
     at = np.searchsorted(np.append(0, np.flatnonzero(data == 10) + 1), starts)  # numbers of the lines that aren't blank
     drop = set(at[gone].tolist())

@@ -186,6 +186,43 @@ def test_line_hashes_win_where_files_are_cut(spark):
     assert counted(linededup.line_deduplicated(many), "doc_id", "text", "n_lines", "n_removed") == without_lines(rows)
 
 
+def test_short_runs_of_many_words_and_short_texts(spark):
+    def without(rows, words, window=3):
+        seen, out = {}, collections.Counter()
+        for doc_id, text in sorted(rows):
+            lines = text.split("\n")
+            at = [i for i, x in enumerate(lines) if SPACED.search(x)]
+            gone, mine = set(), set()
+            for size in range(1, window + 1):
+                for j in range(len(at) - size + 1):
+                    run = tuple(lines[i] for i in at[j : j + size])
+                    for key in [("long", run)] * (size == window or len(SPACED.findall(" ".join(run))) >= words) + [("text", run)] * (len(at) == size < window):
+                        if key in mine or seen.get(key, math.inf) < doc_id:
+                            gone.update(at[j : j + size])
+                        mine.add(key)
+                        seen.setdefault(key, doc_id)
+            out[doc_id, "\n".join(x for i, x in enumerate(lines) if i not in gone), len(at), len(gone)] += 1
+        return out
+
+    rng = random.Random(9)
+    pool = [" ".join(f"w{rng.randrange(999)}" for _ in range(n)) for n in (2, 5, 9, 10, 12, 20)]
+    rows = [(i, "\n".join(rng.choice([*pool, f"only {i} {j}", " "]) for j in range(rng.randint(1, 7)))) for i in range(150)]
+    rows += [(200, "short text"), (201, "short text"), (202, "a\n\nb"), (203, "a\nb"), (204, "x 1\nshort text\nx 2"), (205, f"{pool[5]}\nz 1"), (206, f"y\n{pool[5]}")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = linededup.line_deduplicated(frame, words=10)
+    assert counted(got, "doc_id", "text", "n_lines", "n_removed") == without(rows, 10)
+    kept = {r.doc_id: r.text for r in got.collect()}
+    assert kept[201] == kept[203] == "" and kept[204].count("\n") == 2 and kept[206] == "y"
+
+
+def test_the_pipeline_drops_a_long_line_that_repeats(spark):
+    passage = " ".join(f"word{i}" for i in range(60))
+    frame = spark.createDataFrame([(1, f"one\n{passage}", 0), (2, f"{passage}\ntwo", 0)], "doc_id long, text string, n_chars long")
+    from corpus_pipeline import drop_repeated_lines
+
+    assert {r.doc_id: r.text for r in drop_repeated_lines(spark, frame, "").collect()} == {1: f"one\n{passage}", 2: "two"}
+
+
 # near duplicates
 
 
