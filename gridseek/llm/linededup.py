@@ -2,9 +2,8 @@
 
 Lines that hold more than white space are hashed. Of each `window` consecutive ones the least hash is
 kept (the leftmost of equal ones) as the fingerprint of the window, so that equal windows have equal
-fingerprints at equal places. Fingerprints that occur twice are joined with their positions and
-extended to both sides, up to all windows that they stand for; equal windows are grouped by the
-hash of all their lines. All but the earliest of a group are repeats, and repeats that touch or
+fingerprints at equal places. Fingerprints that occur once rule out the windows that they stand for;
+of what is left, equal windows are grouped by the 128-bit hash of all their lines. All but the earliest of a group are repeats, and repeats that touch or
 overlap are one run, which is deleted.
 """
 
