@@ -9,12 +9,13 @@ comparison could change the result. Else a small node is compared between its co
 members of large ones are joined exactly: two sets of that similarity share a token among the first
 few of each in any common order of all tokens, and tokens of a single set come first in ours.
 Links are confirmed on full shingle sets, for pairs that agree in enough minwise tokens (a link of
-similarity 0.85 misses that with probability below 1e-6). With 10 trees of depth 3 a link meets in no
-tree with probability below 1e-4.
+similarity 0.85 misses that with probability below 1e-6). The number of trees follows the similarity (10 of depth 3 for 0.85, 13
+for 0.80), so that a link meets in no tree with probability of at most 1e-4.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -191,13 +192,19 @@ def _central(large: DataFrame, n: int) -> DataFrame:
     return some.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(*order))).where(F.col("r") <= n).select("node", F.col("id").alias("hub"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: int = 10, depth: int = 3, seed: int = 7, bloom_bits: int = 1 << 28) -> DataFrame:
+def trees_for(percent: int, depth: int, miss: float = 1e-4) -> int:
+    """The least number of trees of that depth in which a pair at the threshold meets in none with probability miss at most."""
+    return max(1, math.ceil(math.log(miss) / math.log1p(-((percent / 100) ** depth)))) if 0 < percent < 100 else 1
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: int | None = None, depth: int = 3, seed: int = 7, bloom_bits: int = 1 << 28) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs.
 
     Documents of no words, and null texts, are linked with nothing. Rows that repeat an id are one
     document. Rows of a null id are linked with nothing, have a null component and are kept. Other
-    columns of docs take no part.
+    columns of docs take no part. Unless given, trees is the least number for a miss of 1e-4 at percent.
     """
+    trees = trees or trees_for(percent, depth)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     bounded_batches(docs.sparkSession)
     signed = stored(_signed(texts, width, trees * depth, seed))

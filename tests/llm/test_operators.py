@@ -278,6 +278,13 @@ def test_a_star_of_near_copies(spark):
     assert counted(neardup.near_duplicates(frame), "doc_id", "n_shingles", "component_id", "kept") == near_components(rows, 85)
 
 
+def test_trees_follow_the_similarity():
+    for percent in (70, 80, 85, 95):
+        n = neardup.trees_for(percent, 3)
+        assert (1 - (percent / 100) ** 3) ** n <= 1e-4 < (1 - (percent / 100) ** 3) ** (n - 1)
+    assert neardup.trees_for(85, 3) == 10 and neardup.trees_for(80, 3) == 13
+
+
 # mixing
 
 
