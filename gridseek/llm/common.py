@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import weakref
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,15 +31,22 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cuts lineage with a table in the shared folder, so that a lost executor costs no recomputation.
 
     Unlike a checkpoint the table is compressed, has sizes that the planner knows, and brings no
-    predicates of its plan along. It is deleted when the program ends.
+    predicates of its plan along. It is deleted when the program ends. With rows, the result is counted on the
+    executors' disks first and written in files of about so many rows, however many partitions it comes from: a
+    loop over small tables would else write a file for each of them, and each file costs more than its rows.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if rows:
+        df = df.persist(StorageLevel.DISK_ONLY)
+        df.coalesce(max(1, -(-df.count() // rows))).write.parquet(path)
+        df.unpersist()
+    else:
+        df.write.parquet(path)
     atexit.register(_delete, spark, path)
     out = spark.read.schema(schema).parquet(path)
     _paths[out] = path
@@ -61,11 +69,18 @@ def discard(*tables: DataFrame) -> None:
         _delete(table_.sparkSession, _paths.pop(table_))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python by so many at once at most, so that a worker's memory stays small; a lower setting stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, rows)
+def plain(key: str) -> Column:
+    """A one-to-one image of a long key by which nothing is partitioned yet: a join on it shuffles both sides, of which Spark can split hot keys."""
+    return F.col(key).bitwiseXOR(F.lit(1))
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Whole texts go to Python by so many rows and bytes at once at most (one row may be larger), so that a worker's memory stays small; lower settings stay."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name).lower().removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, most)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from gridseek.llm.common import durable
 
-#: Links up to which a round is one task, which needs no shuffle; beyond it is dealt out.
-ONE_TASK = 200_000
+#: Links up to which a round is one task, which needs no shuffle; beyond it is dealt out. Rows of a file.
+ONE_TASK = ROWS = 200_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the least label among the neighbours and then the label of that label, so that
     the number of rounds grows with the logarithm of the longest path. Labels and links stay tables.
     """
-    both = durable(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = durable(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), ROWS)
     together = (lambda t: t.coalesce(1)) if both.count() <= ONE_TASK else (lambda t: t)
     both = together(both)
     labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("component"))

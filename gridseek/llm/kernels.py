@@ -163,9 +163,16 @@ class Bloom:
         return Bloom(bits, packed)
 
 
-def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
-    """A hash of each run of 64-bit values."""
-    up, down = powers(base, len(values) + 1)
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each run of 64-bit values, of different kinds: a polynomial, and a sum over mixes of each value with its place."""
+    up, down = powers(BASE, len(values) + 1)
+    size = (ends - starts).astype(U)
     total = np.zeros(len(values) + 1, dtype=U)
-    np.cumsum(mix(values + U(base)) * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
+    np.cumsum(mix(values + U(BASE)) * up[: len(values)], out=total[1:])
+    one = mix((total[ends] - total[starts]) * down[starts] + size)
+    place = np.zeros(len(values), dtype=np.int64)
+    per = ends - starts
+    inside = np.repeat(starts, per) + np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
+    place[inside] = inside - np.repeat(starts, per)
+    np.cumsum(mix(values ^ mix(place.astype(U) + U(BASE2))), out=total[1:])
+    return one, mix(total[ends] - total[starts] + size)

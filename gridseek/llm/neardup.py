@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridseek.llm import kernels as K
-from gridseek.llm.common import bounded_batches, by_id, durable, stored
+from gridseek.llm.common import bounded_batches, by_id, durable, plain
 from gridseek.llm.components import components
 
 #: Members of a node that is compared whole; central members that a large one is compared with.
 SMALL, CENTRAL = 16, 2
-#: Numbers of sets from which a token counts as more frequent.
-OFTEN = (2, 4, 16, 64)
+#: Rows of a file of what is cut off on the way.
+ROWS = 1 << 17
+#: Numbers of sets from which a token counts as more frequent, as far as there are such tokens.
+OFTEN = (2, 4, 16, 64, *(8**i for i in range(3, 13)))
 
 
 def _shingled(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -42,7 +44,7 @@ def _shingled(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.nda
         last = np.cumsum(per)
         first = last - per
         words = K.span_hashes(data, starts, ends)
-        whole = [K.run_hashes(words, first, last, b) for b in (K.BASE, K.BASE2)]
+        whole = K.run_hashes(words, first, last)
         h = K.grams(words, width)
         full = text[: len(h)] == text[width - 1 :] if len(h) else np.zeros(0, bool)
         few = np.flatnonzero((per > 0) & (per < width))
@@ -130,7 +132,7 @@ def _agreeing(pairs: DataFrame, signs: DataFrame, n: int, percent: int) -> DataF
 
 
 def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int, bloom_bits: int) -> DataFrame:
-    """Pairs (id, other) of members(id, n, component) in different components that can reach the similarity.
+    """Pairs (id, other) of members(id, component) in different components that can reach the similarity.
 
     A set of n tokens shares at least percent of them with any partner, so that a partner has one of its
     first n - ceil(n * percent / 100) + 1. The order of all tokens: the rarest first, in steps of OFTEN,
@@ -144,30 +146,31 @@ def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int, bloom_bits: i
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(batch.column("shingles")[i].as_buffer(), dtype=np.int64))], names=["token"])
 
     own = sets.join(members, "id")
-    counts = stored(own.select("shingles").mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("often")).where(F.col("often") >= OFTEN[0]))
-    steps = spark.sparkContext.broadcast([K.Bloom.of(counts.where(F.col("often") >= least), "token", bloom_bits) for least in OFTEN])
+    counts = durable(own.select("shingles").mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("often")).where(F.col("often") >= OFTEN[0]), ROWS)
+    most = counts.agg(F.max("often")).first()[0] or 0
+    steps = spark.sparkContext.broadcast([K.Bloom.of(counts.where(F.col("often") >= least), "token", bloom_bits) for least in OFTEN if least <= most])
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, out, place = [], [], []
+            at, out, place, sizes = [], [], [], []
             for i in range(len(batch)):
                 h = np.frombuffer(batch.column("shingles")[i].as_buffer(), dtype=K.U)
-                step = np.sum([b.has(h) for b in steps.value], axis=0)
+                step = np.sum([np.zeros(len(h), bool), *(b.has(h) for b in steps.value)], axis=0)
                 first = np.lexsort((h, step))[: len(h) - -(-len(h) * percent // 100) + 1]
                 met = np.flatnonzero(step[first] > 0)  # others are of this set only
                 out.append(h[first[met]])
                 place.append(met)
                 at.append(np.full(len(met), i))
-            rows = pa.array(np.concatenate(at) if at else np.zeros(0, np.int64))
+                sizes.append(np.full(len(met), len(h)))
+            rows, place, sizes = (pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (at, place, sizes))
             token = (np.concatenate(out) if out else np.zeros(0, K.U)).view(np.int64)
-            columns = [batch.column(c).take(rows) for c in ("id", "n", "component")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(place) if place else np.zeros(0, np.int64)), pa.array(token)], names=["id", "n", "component", "place", "token"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), sizes, batch.column("component").take(rows), place, pa.array(token)], names=["id", "n", "component", "place", "token"])
 
-    lists = stored(own.select("id", "n", "component", "shingles").mapInArrow(firsts, "id long, n long, component long, place long, token long"))
+    lists = durable(own.select("id", "component", "shingles").mapInArrow(firsts, "id long, n long, component long, place long, token long"), ROWS)
     # those outside the token's main component against all others
     parts = lists.groupBy("token", "component").agg(F.count("*").alias("m"))
-    main = parts.groupBy("token").agg(F.max_by("component", "m").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
-    apart = lists.join(durable(main), "token")
+    main = parts.groupBy("token").agg(F.max_by("component", "m").alias("main"), F.count("*").alias("parts")).where("parts > 1").select(plain("token").alias("key"), "main")
+    apart = durable(lists.withColumn("key", plain("token")).join(main, "key").drop("key"), ROWS)
     outside = apart.where("component != main").select("token", F.col("id").alias("other"), F.col("n").alias("n_other"), F.col("component").alias("theirs"), F.col("place").alias("their_place"))
     common = F.least(F.col("n") - F.col("place"), F.col("n_other") - F.col("their_place"))
     near = (F.col("component") != F.col("theirs")) & (100 * common >= percent * (F.col("n") + F.col("n_other") - common))
@@ -175,11 +178,9 @@ def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int, bloom_bits: i
 
 
 def _node_sizes(rows: DataFrame) -> DataFrame:
-    """rows of nodes of two members at least, with the node's size.
-
-    The sizes are a table of their own, so that both sides of the join are plain shuffles, of which Spark splits hot nodes.
-    """
-    return rows.join(durable(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")), "node")
+    """rows of nodes of two members at least, with the node's size."""
+    sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select(plain("node").alias("key"), "size")
+    return rows.withColumn("key", plain("node")).join(sizes, "key").drop("key")
 
 
 def _central(large: DataFrame, n: int) -> DataFrame:
@@ -201,16 +202,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
     """doc_id, n_shingles, component_id and kept for each row of docs.
 
     Documents of no words, and null texts, are linked with nothing. Rows that repeat an id are one
-    document. Rows of a null id are linked with nothing, have a null component and are kept. Other
-    columns of docs take no part. Unless given, trees is the least number for a miss of 1e-4 at percent.
+    document, linked with whatever one of its texts is like. Rows of a null id are linked with nothing, have a
+    null component and are kept. Other columns of docs take no part. Unless given, trees is the least
+    number for a miss of 1e-4 at percent.
     """
     trees = trees or trees_for(percent, depth)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     bounded_batches(docs.sparkSession)
-    signed = stored(_signed(texts, width, trees * depth, seed))
+    signed = durable(_signed(texts, width, trees * depth, seed))
     own = signed.where("doc_id is not null and n > 0")
-    classes = durable(own.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last")))
-    signs = durable(own.join(classes.select("k1", "k2", F.col("id").alias("doc_id")), ["k1", "k2", "doc_id"]).select(F.col("doc_id").alias("id"), "n", "sign").dropDuplicates(["id"]))
+    found = _linked(texts, own, percent, width, trees, depth, bloom_bits)
+    # all documents of a class have the component of the class
+    classes = own.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"))
+    whole = classes.join(found, "id", "left").select(plain("k1").alias("key"), "k2", F.coalesce("component", "id").alias("component"))
+    joined = own.select("doc_id", plain("k1").alias("key"), "k2").join(whole, ["key", "k2"]).select("doc_id", "component")
+    return _resolved(signed, own, joined)
+
+
+def _linked(texts: DataFrame, own: DataFrame, percent: int, width: int, trees: int, depth: int, bloom_bits: int) -> DataFrame:
+    """id and component of the classes of documents of the same words that are linked with others; a class has its least id."""
+    signs = durable(own.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("sign").alias("sign")).select("id", "n", "sign"), ROWS)
 
     def token(tree, level: int):
         """Beyond its own levels a tree takes those of the next trees."""
@@ -227,21 +238,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
         if level == depth - 1:
             done.append(sized.select(*names))
             break
-        sized = durable(sized.drop(f"p{level}"))
+        sized = durable(sized.drop(f"p{level}"), ROWS)
         done.append(sized.where(F.col("size") <= SMALL).select(*names))
         rows = sized.where(F.col("size") > SMALL).drop("node", "size")
     nodes = done[0]
     for x in done[1:]:
         nodes = nodes.unionAll(x)
-    nodes = stored(nodes)
+    nodes = durable(nodes, ROWS)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        agreeing = stored(_agreeing(pairs, signs, trees * depth, percent))
-        return stored(_confirmed(agreeing, of(agreeing.select(F.explode(F.array("a", "b")).alias("id"))), percent))
+        agreeing = durable(_agreeing(pairs, signs, trees * depth, percent), ROWS)
+        return durable(_confirmed(agreeing, of(agreeing.select(F.explode(F.array("a", "b")).alias("id"))), percent).distinct(), ROWS)
 
     def of(ids: DataFrame) -> DataFrame:
         wanted = K.Bloom.of(ids.select(F.xxhash64("id").alias("key")).distinct(), "key", bloom_bits)
-        return stored(_sets(texts.where("doc_id is not null"), width, wanted))
+        return durable(_sets(texts.where("doc_id is not null"), width, wanted), ROWS)
 
     # each member with its node's first or central members
     small, large = nodes.where(F.col("size") <= SMALL), nodes.where(F.col("size") > SMALL)
@@ -249,41 +260,38 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
     if not large.isEmpty():
         hubs = hubs.unionAll(_central(large, CENTRAL))
     hubs = hubs.join(signs.select(F.col("id").alias("hub"), F.col("n").alias("n_hub")), "hub")
-    tried = stored(_pairs(nodes.join(hubs, "node"), "id", "n", "hub", "n_hub", percent))
+    tried = durable(_pairs(nodes.join(hubs, "node"), "id", "n", "hub", "n_hub", percent), ROWS)
     links = confirmed(tried)
     found = components(links)
 
     # what is left: nodes whose members are not in one component
-    known = nodes.join(found, "id", "left").select("node", "id", "n", "size", F.coalesce("component", "id").alias("component"))
-    apart = durable(known.groupBy("node").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("node"))
-    left = stored(known.join(apart, "node"))
+    known = durable(nodes.join(found, "id", "left").select("node", "id", "n", "size", F.coalesce("component", "id").alias("component")), ROWS)
+    apart = known.groupBy("node").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select(plain("node").alias("key"))
+    left = durable(known.withColumn("key", plain("node")).join(apart, "key").drop("key"), ROWS)
     one = left.where(F.col("size") <= SMALL)
     other = one.select("node", F.col("id").alias("other"), F.col("n").alias("n_other"), F.col("component").alias("theirs"))
     pairs = _pairs(one.join(other, "node").where("id < other and component != theirs"), "id", "n", "other", "n_other", percent)
-    members = left.where(F.col("size") > SMALL).select("id", "n", "component").distinct()
+    members = left.where(F.col("size") > SMALL).select("id", "component").distinct()
     if not members.isEmpty():
         pairs = pairs.unionAll(_rare_pairs(members, of(members), percent, bloom_bits)).distinct()
     more = confirmed(pairs.join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        found = components(links.unionAll(more))
-
-    # all documents of a class have the component of the class
-    whole = classes.join(found, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
-    joined = own.select("doc_id", "k1", "k2").join(whole, ["k1", "k2"]).select("doc_id", "component")
-    return _resolved(signed, joined)
+    return found if more.isEmpty() else components(links.unionAll(more))
 
 
-def _resolved(signed: DataFrame, joined: DataFrame) -> DataFrame:
+def _resolved(signed: DataFrame, own: DataFrame, joined: DataFrame) -> DataFrame:
     """A row for each row of signed. Rows that repeat an id may be in several classes, which it joins."""
-    least = joined.groupBy("doc_id").agg(F.min("component").alias("component"), F.max("component").alias("other"))
-    if not least.where("component < other").isEmpty():
-        ends = joined.join(least.where("component < other"), "doc_id").select(joined["component"].alias("a"), least["component"].alias("b"))
+    first, last = (F.struct("k1", "k2"),) * 2
+    unlike = own.groupBy("doc_id").agg(F.min(first).alias("x"), F.max(last).alias("y")).where("x != y").select("doc_id")
+    if not unlike.isEmpty():
+        joined = durable(joined)
+        least = joined.groupBy("doc_id").agg(F.min("component").alias("component"), F.max("component").alias("other")).where("component < other")
+        ends = joined.join(least.select("doc_id", F.col("component").alias("least")), "doc_id").select(F.col("component").alias("a"), F.col("least").alias("b"))
         merged = components(ends).withColumnRenamed("component", "whole").withColumnRenamed("id", "component")
         joined = joined.join(merged, "component", "left").select("doc_id", F.coalesce("whole", "component").alias("component"))
-        least = joined.groupBy("doc_id").agg(F.min("component").alias("component"))
+    least = joined.groupBy("doc_id").agg(F.min("component").alias("component"))
     return (
         signed.select("doc_id", F.col("n").alias("n_shingles"))
-        .join(least.select("doc_id", "component"), "doc_id", "left")
+        .join(least, "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
