@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridseek.llm import kernels as K
-from gridseek.llm.common import bounded_batches, durable, fresh
+from gridseek.llm.common import bounded_batches, durable, fresh, plain
 
 LEAST = -(1 << 63)
 
@@ -99,15 +99,15 @@ def line_deduplicated(docs: DataFrame, window: int = 3, words: int | None = None
 
     windows = durable(texts.mapInArrow(run, "doc_id long, text_hash long, first long, size long, print long, leads boolean, a long, b long, again boolean"))
     shared = windows.where("leads").groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-    # tables of their own, so that both sides of the joins are plain shuffles, of which Spark splits hot keys
-    met = durable(windows.join(durable(shared), "print").drop("print", "leads"))
+    met = durable(windows.withColumn("key", plain("print")).join(shared.select(plain("print").alias("key")), "key").drop("key", "print", "leads"))
     ahead = met.where("not again")
-    groups = ahead.groupBy("a", "b").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("latest > earliest").select("a", "b", "earliest")
+    groups = ahead.groupBy("a", "b").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("latest > earliest").select(plain("a").alias("key"), "b", "earliest")
     names = ("doc_id", "text_hash", "first", "size")
-    repeats = ahead.join(durable(groups), ["a", "b"]).where("doc_id > earliest").select(*names).unionAll(met.where("again").select(*names))
+    repeats = ahead.withColumn("key", plain("a")).join(groups, ["key", "b"]).where("doc_id > earliest").select(*names).unionAll(met.where("again").select(*names))
     own_id, own_hash, runs, done = fresh(docs, "own_id", "own_hash", "runs", "done")
-    found = repeats.groupBy("doc_id", "text_hash").agg(F.collect_list(F.col("first") * window + F.col("size") - 1).alias(runs)).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), runs)
-    joined = docs.withColumns({own_id: ids, own_hash: F.xxhash64("text")}).join(found, [own_id, own_hash], "left")
+    # a set, for rows that repeat an id and a text all have the same runs
+    found = repeats.groupBy("doc_id", "text_hash").agg(F.collect_set(F.col("first") * window + F.col("size") - 1).alias(runs)).select(F.col("doc_id").alias(own_id), plain("text_hash").alias(own_hash), runs)
+    joined = docs.withColumns({own_id: ids, own_hash: F.xxhash64("text").bitwiseXOR(F.lit(1))}).join(found, [own_id, own_hash], "left")
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
     def cut(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:

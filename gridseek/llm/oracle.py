@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridseek.llm.urlgraph import RULES
+from gridseek.llm.urlgraph import MARGIN, RULES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BREAK = "chr(10)"
@@ -41,6 +41,17 @@ NEAR = rf"""with recursive docs as (select doc_id, regexp_extract_all({_LOWER.fo
  select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.component_id, d.doc_id) as component_id, coalesce(c.component_id, d.doc_id) = d.doc_id as kept
  from documents d left join n using (doc_id) left join (select a as doc_id, min(b) as component_id from reach group by 1) c using (doc_id)"""
 
+REPEATS = """with bytes_ as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+ w as (select doc_id, p, md5_number(substring(h, 2*p-1, 200)) as k from (select doc_id, h, unnest(range(1, len(h)//2-98)) as p from bytes_ where len(h) >= 200)),
+ later as materialized (select doc_id, p from (select doc_id, p, row_number() over (partition by k order by doc_id, p) as r from w) where r > 1),
+ marked as (select *, case when p > lag(p) over (partition by doc_id order by p) + 100 then 1 else 0 end as new from later),
+ spans as (select doc_id, run, min(p) as low, max(p)+100 as high from (select *, sum(new) over (partition by doc_id order by p) as run from marked) group by 1, 2),
+ pieces as (select doc_id, coalesce(lag(high) over (partition by doc_id order by low), 1) as a, low as b from spans union all select doc_id, max(high), 1000000000 from spans group by 1),
+ kept as (select doc_id, string_agg(substring(h, 2*a-1, 2*(b-a)), '' order by a) as h from pieces join bytes_ using (doc_id) group by 1),
+ counts as (select doc_id, sum(high-low) as removed, count(*) as n from spans group by 1)
+ select d.doc_id, len(d.h)//2 as n_bytes, cast(coalesce(c.removed, 0) as bigint) as n_removed, coalesce(c.n, 0) as n_spans, sha256(unhex(coalesce(k.h, d.h))) as kept_sha256
+ from bytes_ d left join kept k using (doc_id) left join counts c using (doc_id)"""
+
 TOP = """with v as (select vec_id, list_transform(embedding, lambda x: floor(256e0*cast(x as double))) as e from embeddings where embedding is not null and vec_id is not null and len(embedding) > 0
  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
  p as (select q.vec_id as query_id, v.vec_id, cast(list_dot_product(q.e, v.e) as bigint) as score from v q join v on q.vec_id % 50 = 0 and q.vec_id != v.vec_id and len(q.e) = len(v.e))
@@ -56,16 +67,17 @@ def _judged(rounds: int = 10, damping: float = 0.85) -> str:
     parts = [
         rf"with parsed as (select page_id, html, coalesce({host.format('url')}, '') as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages)",
         f"own as materialized (select *, {cases(1)} as rule, {cases(0)} as ruled from parsed)",
-        r"""links as (select host as a, unnest(regexp_extract_all(html, '(?i)(?:href|src)\s*=\s*["'']?([a-z][a-z0-9+.-]*://[^"''\s>]*)', 1)) as link from own where html is not null)""",
-        f"edges as materialized (select a, b, count(*) as n from (select a, {host.format('link')} as b from links) where a != b and a != '' and b != '' group by 1, 2)",
+        r"""links as (select host as a, unnest(regexp_extract_all(html, '(?i)(?:href|src)\s*=\s*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]*)', 1)) as link from own where html is not null)""",
+        f"edges as materialized (select a, b, count(*) as n from (select a, {host.format("case when starts_with(link, '//') then 'x:' || link else link end")} as b from links) where a != b and a != '' and b != '' group by 1, 2)",
     ]
     for kind, a, b in (("allow", "a", "b"), ("block", "b", "a")):
         parts.append(f"{kind}_share as materialized (select {a} as a, {b} as b, cast(n as double)/sum(n) over (partition by {a}) as share from edges)")
         parts.append(f"{kind}_seed as materialized (select host, cast(count(*) as double)/sum(count(*)) over () as weight from own where ruled = '{kind}' group by 1)")
         parts.append(f"{kind}0 as materialized (select host, weight as rank from {kind}_seed)")
         for i in range(1, rounds + 1):
-            parts.append(f"{kind}{i} as materialized (select host, sum(rank) as rank from (select b as host, rank*share*{damping}e0 as rank from {kind}_share join {kind}{i - 1} r on r.host = a union all select host, weight*{1 - damping:.2f}e0 from {kind}_seed) group by 1)")
-    bad = f"select host from block{rounds} b left join allow{rounds} t using (host) where b.rank > coalesce(t.rank, 0)"
+            parts.append(f"{kind}_sent{i} as materialized (select b as host, sum(rank*share)*{damping}e0 as rank from {kind}_share join {kind}{i - 1} r on r.host = a group by 1)")
+            parts.append(f"{kind}{i} as materialized (select host, sum(rank) as rank from (select * from {kind}_sent{i} union all select host, weight*(1-(select coalesce(sum(rank), 0) from {kind}_sent{i})) from {kind}_seed) group by 1)")
+    bad = f"select host from block{rounds} b left join allow{rounds} t using (host) where b.rank > coalesce(t.rank, 0)*{MARGIN}e0"
     return ", ".join(parts) + f" select page_id, host, path, rule, coalesce(ruled, case when host in ({bad}) then 'block' else 'allow' end) as verdict from own"
 
 
@@ -73,6 +85,7 @@ SQL: dict[str, str] = {
     "op3_line_dedup": LINES,
     "op4_decontamination": CONTAMINATION,
     "op6_url_graph": _judged(),
+    "op7_suffix_dedup": REPEATS,
     "op9_near_duplicates": NEAR,
     "op10_top_k": TOP,
 }

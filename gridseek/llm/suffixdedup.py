@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridseek.llm import kernels as K
-from gridseek.llm.common import bounded_batches, discard, stored
+from gridseek.llm.common import bounded_batches, discard, plain, stored
 
 #: Bytes that are handled at once, so that the arrays stay in the processor's cache.
 PIECE_BITS = 17
@@ -186,16 +186,16 @@ def _again(text: np.ndarray, low: np.ndarray, a: np.ndarray, b: np.ndarray) -> t
     return order, again
 
 
-def _packed(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Array:
-    """26 bits of the text's hash, the first window (31 bits) and the number of further ones (7 bits): less to shuffle."""
-    return pa.array((hashes.view(K.U) >> K.U(38) << K.U(38) | low.astype(K.U) << K.U(7) | (high - low).astype(K.U)).view(np.int64))
+def _packed(low: np.ndarray, high: np.ndarray) -> pa.Array:
+    """The first window and the number of further ones (7 bits): less to shuffle."""
+    return pa.array(low << 7 | (high - low))
 
 
-ROW, NAMES = "doc_id long, at long, a long, b long, mixed boolean, again boolean", ["doc_id", "at", "a", "b", "mixed", "again"]
+ROW, NAMES = "doc_id long, text_hash long, at long, a long, b long, mixed boolean, again boolean", ["doc_id", "text_hash", "at", "a", "b", "mixed", "again"]
 
 
 def repeats(docs: DataFrame, width: int = 100, gram: int = 32, part: int = 17, bloom_bits: int = 1 << 28) -> DataFrame:
-    """doc_id (null: the least long), text26 (bits of the text's hash), low and high of runs of windows (first bytes) that also start earlier.
+    """doc_id (null: the least long), text_hash, low and high of runs of windows (first bytes) that also start earlier.
 
     Earlier: in a document of smaller doc_id (null is the smallest), or before in the same row. Rows
     of equal doc_id are not earlier than each other. Null and empty texts have no windows.
@@ -212,16 +212,17 @@ def repeats(docs: DataFrame, width: int = 100, gram: int = 32, part: int = 17, b
         for batch in batches:
             text, low, high, a, b, many, again = _runs(batch.column("text"), width, gram, twice.value, mixed.value)
             ids, hashes = (batch.column(c).to_numpy()[text] for c in ("doc_id", "text_hash"))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), _packed(hashes, low, high), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(many), pa.array(again)], names=NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hashes), _packed(low, high), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(many), pa.array(again)], names=NAMES)
 
     rows = stored(texts.mapInArrow(runs, ROW))
     classes = stored(rows.where("not again").groupBy("a", "b").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"), F.bool_or("mixed").alias("mixed")))
 
     def after(rows: DataFrame, classes: DataFrame) -> DataFrame:
         """Those that are not in the earliest document of their class, or follow an equal one in it."""
-        ahead = rows.where("not again").select("doc_id", "at", "a", "b")
+        ahead = rows.where("not again").select("doc_id", "text_hash", "at", "a", "b")
         later = ahead.join(classes.where("latest > earliest").select("a", "b", "earliest"), ["a", "b"]).where("doc_id > earliest")
-        return stored(later.select("doc_id", "at").unionAll(rows.where("again").select("doc_id", "at")))
+        names = ("doc_id", "text_hash", "at")
+        return stored(later.select(*names).unionAll(rows.where("again").select(*names)))
 
     outer = after(rows, classes)
 
@@ -258,14 +259,14 @@ def repeats(docs: DataFrame, width: int = 100, gram: int = 32, part: int = 17, b
             low, high = base + low, base + high
             order, again = _again(of, low, a, b)
             ids, hashes = (batch.column(c).to_numpy()[of[order]] for c in ("doc_id", "text_hash"))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), _packed(hashes, low[order], high[order]), pa.array(a[order].view(np.int64)), pa.array(b[order].view(np.int64)), pa.array(again), pa.array(again)], names=NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hashes), _packed(low[order], high[order]), pa.array(a[order].view(np.int64)), pa.array(b[order].view(np.int64)), pa.array(again), pa.array(again)], names=NAMES)
 
     split = stored(held.mapInArrow(parts, ROW))
     parts_of = stored(split.where("not again").groupBy("a", "b").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("latest > earliest"))
     inner = after(split, parts_of)
     discard(held, split, parts_of)
-    low = F.shiftright("at", 7).bitwiseAND(F.lit((1 << 31) - 1))
-    return outer.unionAll(inner).select("doc_id", F.shiftrightunsigned("at", 38).alias("text26"), low.alias("low"), (low + F.col("at").bitwiseAND(F.lit(127))).alias("high"))
+    low = F.shiftright("at", 7)
+    return outer.unionAll(inner).select("doc_id", "text_hash", low.alias("low"), (low + F.col("at").bitwiseAND(F.lit(127))).alias("high"))
 
 
 def _merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -283,10 +284,11 @@ def without_repeats(docs: DataFrame, width: int = 100, gram: int = 32, part: int
     fall within a character. Rows that repeat an id and a text count as one document and get the same
     result. Other columns of docs take no part.
     """
-    runs = repeats(docs, width, gram, part, bloom_bits).groupBy("doc_id", "text26").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    # a set, for rows that repeat an id and a text all have the same runs
+    runs = repeats(docs, width, gram, part, bloom_bits).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"own": F.coalesce("doc_id", F.lit(LEAST)).cast("long"), "text26": F.shiftrightunsigned(F.xxhash64("text"), 38)})
-    joined = own.join(runs.withColumnRenamed("doc_id", "own"), ["own", "text26"], "left").select("doc_id", "text", "runs")
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"own": F.coalesce("doc_id", F.lit(LEAST)).cast("long"), "key": F.xxhash64("text").bitwiseXOR(F.lit(1))})
+    joined = own.join(runs.select(F.col("doc_id").alias("own"), plain("text_hash").alias("key"), "runs"), ["own", "key"], "left").select("doc_id", "text", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
