@@ -106,6 +106,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def text_keys() -> dict[str, Column]:
+    """Two hashes of the text, which tell rows of one doc_id, or of none, apart."""
+    return {"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")}
+
+
+def by_row(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The rows of docs, with all their columns, that are among rows(doc_id, t1, t2) (left_semi) or aren't (left_anti); null ids are equal."""
+    names = fresh(docs, "id", "t1", "t2", "null")
+    id_, t1, t2, null = names
+    own = docs.withColumns({t1: F.xxhash64("text"), t2: F.xxhash64(F.lit(1), "text"), null: F.col("doc_id").isNull(), id_: F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
+    wanted = rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(id_), F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("doc_id").isNull().alias(null)).distinct()
+    return own.join(wanted, names, how).select(*[own[c] for c in docs.columns])
+
+
 def by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """The rows of docs, with all their columns, whose doc_id is among ids (left_semi) or isn't (left_anti)."""
     (key,) = fresh(docs, "id")

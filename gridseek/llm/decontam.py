@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridseek.llm import kernels as K
-from gridseek.llm.common import bounded_batches, by_id, durable
+from gridseek.llm.common import bounded_batches, by_row, durable, text_keys
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOUND = pa.struct([("h", pa.int64()), ("len", pa.int32()), ("pos", pa.int32()), ("lead", pa.int32()), ("ctx", pa.string())])
@@ -134,12 +134,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     items count once by their id. Other columns take no part. docs may be of any size, and so may
     benchmark: its fingerprints are shuffled, never collected.
     """
+    return _judged(docs, benchmark, window, k, bloom_bits).drop("t1", "t2")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, bloom_bits: int = 1 << 28) -> DataFrame:
+    """contamination() with the hashes of each row's text."""
     bounded_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").alias("rid"), "text")
     prints = durable(_scanned(items, window, k, list(range(1, window)), None).select(F.col("rid").alias("item_id"), F.explode("found").alias("f")).select("item_id", "f.*"))
     bloom = K.Bloom.of(prints, "h", bloom_bits)
     short = sorted(r.len for r in prints.where(F.col("len") < window).select("len").distinct().collect())  # below window rows
-    marked = docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
+    marked = docs.select("doc_id", "text").withColumns(text_keys()).withColumn("rid", F.monotonically_increasing_id())
     # one pass gives the words and the fingerprints of each row; the row's number holds because this pass is kept
     scanned = durable(_kept(marked, window, k, short, bloom))
     met = (
@@ -162,7 +167,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     found = spans.select("rid", "item_id").distinct().groupBy("rid").agg(F.count("item_id").alias("n_items"), F.array_join(names, ",").alias("items"))
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     return (
-        scanned.select("rid", "doc_id", "n_words")
+        scanned.select("rid", "doc_id", "n_words", "t1", "t2")
         .join(hits, "rid", "left")
         .join(found, "rid", "left")
         .select(
@@ -172,6 +177,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
             F.coalesce(F.col("n_items"), F.lit(0)).cast("long").alias("n_items"),
             F.sha2(F.coalesce(F.col("items"), F.lit("")), 256).alias("items_sha256"),
             (n_hit > 0).alias("contaminated"),
+            "t1",
+            "t2",
         )
     )
 
@@ -179,16 +186,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
 def _kept(marked: DataFrame, window: int, k: int, short: list[int], bloom: K.Bloom) -> DataFrame:
     kind = marked.schema["doc_id"].dataType.simpleString()
     shared = marked.sparkSession.sparkContext.broadcast(bloom)
+    same = ("rid", "doc_id", "t1", "t2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, found = _scan(batch.column("text"), window, k, short, shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(n, pa.int64()), found], names=["rid", "doc_id", "n_words", "found"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in same), pa.array(n, pa.int64()), found], names=[*same, "n_words", "found"])
 
-    return marked.mapInArrow(run, SCANNED.replace("rid long,", f"rid long, doc_id {kind},"))
+    return marked.mapInArrow(run, SCANNED.replace("rid long,", f"rid long, doc_id {kind}, t1 long, t2 long,"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """docs without the documents that hold a window of an item. Rows of a null doc_id, which can't be judged by id, stay."""
-    bad = contamination(docs, benchmark, window).where("contaminated").select("doc_id").distinct()
-    return by_id(docs, bad, "left_anti")
+    """docs without the rows whose text holds a window of an item, whatever their id is or others of that id hold."""
+    return by_row(docs, _judged(docs, benchmark, window).where("contaminated").select("doc_id", "t1", "t2"), "left_anti")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridseek.llm import kernels as K
-from gridseek.llm.common import bounded_batches, by_id, durable
+from gridseek.llm.common import bounded_batches, by_row, durable, text_keys
 
 BEGINNINGS = (3, 4, 5, 6)
 
@@ -71,8 +71,8 @@ def _wordings(per: np.ndarray, buckets: np.ndarray, bits: int) -> np.ndarray:
     return (total[first + per] - total[first]).view(np.int64)
 
 
-def _labelled(docs: DataFrame, frame: DataFrame, bits: int) -> pd.DataFrame:
-    """wording, toxic and copies of the texts that the labels are of."""
+def _labelled(docs: DataFrame, frame: DataFrame, bits: int, sample: int) -> pd.DataFrame:
+    """wording, toxic and copies of at most `sample` texts that the labels are of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,7 +83,7 @@ def _labelled(docs: DataFrame, frame: DataFrame, bits: int) -> pd.DataFrame:
 
     # of the bounded sample only: a join with it is enough
     rows = docs.join(F.broadcast(frame), "doc_id").select("text", "toxic").mapInArrow(run, "wording long, toxic long")
-    return rows.groupBy("wording", "toxic").agg(F.count("*").alias("copies")).toPandas().sort_values(["toxic", "wording"])
+    return rows.groupBy("wording", "toxic").agg(F.count("*").alias("copies")).orderBy(F.xxhash64("wording"), "wording", "toxic").limit(sample).toPandas().sort_values(["toxic", "wording"])
 
 
 def _counts(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, bits: int, texts: pd.DataFrame) -> tuple[np.ndarray, ...]:
@@ -109,7 +109,8 @@ def _counts(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, bits: int, text
                     if not some.any():
                         continue
                     hashes, n = copies[y]
-                    share = 1 / n[np.minimum(np.searchsorted(hashes, wording), len(n) - 1)]
+                    at_ = np.minimum(np.searchsorted(hashes, wording), len(n) - 1)
+                    share = np.where(hashes[at_] == wording, 1 / n[at_], 0) if len(n) else np.zeros(len(wording))
                     pairs = np.unique((text[some].astype(np.int64) << bits | buckets[:, some]).ravel())
                     by[y] += np.bincount(pairs & (size - 1), share[pairs >> bits], minlength=size)
         some = np.flatnonzero(seen)
@@ -194,9 +195,10 @@ def maximal_segments(at: list[int], scores: list[float], drift: float) -> list[t
 
 
 def _segments(docs: DataFrame, model: Model, bits: int) -> DataFrame:
-    """doc_id, held_out, n_words, segments and wording of each row of docs."""
+    """doc_id, held_out, t1, t2, n_words, segments and wording of each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.drift))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    same = ("doc_id", "held_out", "t1", "t2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, drift = shared.value
@@ -214,9 +216,9 @@ def _segments(docs: DataFrame, model: Model, bits: int) -> DataFrame:
                     t = of[a]
                     segments[i + t] = [{"low": x, "high": y, "score": s} for x, y, s in maximal_segments((some[a:b] - first[t]).tolist(), best[some[a:b]].tolist(), drift)]
             found = pa.array(segments, pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32()), ("score", pa.float64())])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n_words), found, pa.array(wording)], names=["doc_id", "held_out", "n_words", "segments", "wording"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in same), pa.array(n_words), found, pa.array(wording)], names=[*same, "n_words", "segments", "wording"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_words long, segments array<struct<low:int,high:int,score:double>>, wording long")
+    return docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, t1 long, t2 long, n_words long, segments array<struct<low:int,high:int,score:double>>, wording long")
 
 
 def _evidence(model: Model, significant: float) -> Column:
@@ -253,15 +255,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 200_000, bits: in
     out. Labels that are null or of a null id take no part; of repeated ones the greatest counts.
     Without labels of both kinds every score is low. Other columns take no part.
     """
+    return _scored(docs, labels, sample, bits, drift, prior, least, diverse, significant).drop("t1", "t2")
+
+
+def _scored(docs: DataFrame, labels: DataFrame, sample: int = 200_000, bits: int = 19, drift: float = 0.05, prior: float = 50.0, least: float = 18.0, diverse: float = 0.4, significant: float = 0.05) -> DataFrame:
+    """toxicity() with the hashes of each row's text."""
     bounded_batches(docs.sparkSession)
     # texts only, with the id to find labels by
-    texts = docs.select("doc_id", F.col("text"), held_out(F.col("doc_id")).alias("held_out"))
+    texts = docs.select("doc_id", F.col("text"), held_out(F.col("doc_id")).alias("held_out")).withColumns(text_keys())
     own = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     train = own.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas().sort_values("doc_id")
     ids, toxic = train["doc_id"].to_numpy(dtype=np.int64), (train["toxic"].to_numpy() > 0).astype(np.int64)
     numbered = texts.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
     frame = docs.sparkSession.createDataFrame(pd.DataFrame({"doc_id": ids, "toxic": toxic}), "doc_id long, toxic long")
-    own_texts = _labelled(numbered, frame, bits)
+    own_texts = _labelled(numbered, frame, bits, sample)
     seen, y1, y0 = _counts(numbered, ids, toxic, bits, own_texts)
     n_toxic, n_clean = (int((own_texts["toxic"] == y).sum()) for y in (1, 0))
     weights = _weights(seen, y1, y0, n_toxic, n_clean, prior, least)
@@ -273,19 +280,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 200_000, bits: in
     best = F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0)).alias("best")
     seen_train = scanned.join(F.broadcast(frame), "doc_id")
     # of at most `sample` rows, copies once, in one order, so that sums come out the same
-    clean = seen_train.where("toxic = 0").select("wording", (best - F.ln(1 + F.col("n_words"))).alias("z")).distinct().toPandas().sort_values(["wording", "z"])["z"].to_numpy()
+    clean = seen_train.where("toxic = 0").select("wording", (best - F.ln(1 + F.col("n_words"))).alias("z")).distinct().orderBy("wording", "z").limit(sample).toPandas().sort_values(["wording", "z"])["z"].to_numpy()
     if len(clean) > 1:
         model.spread = max(0.5, float(clean.std(ddof=1)) * math.sqrt(6) / math.pi)
         model.location = float(clean.mean()) - 0.5772156649 * model.spread
     evidence = F.ln(1 + _evidence(model, significant))
-    fit = seen_train.select("wording", "toxic", evidence.alias("x")).distinct().toPandas().sort_values(["wording", "toxic", "x"])
+    fit = seen_train.select("wording", "toxic", evidence.alias("x")).distinct().orderBy("wording", "toxic", "x").limit(sample).toPandas().sort_values(["wording", "toxic", "x"])
     if fit["toxic"].nunique() == 2:
         model.intercept, model.slope = _logistic(fit["x"].to_numpy(), fit["toxic"].to_numpy(dtype=float))
     score = 1 / (1 + F.exp(-(F.lit(model.intercept) + F.lit(model.slope) * evidence)))
-    return scanned.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.7).cast("int")).select("doc_id", "held_out", "score", "predicted", "n_words", "segments")
+    return scanned.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.7).cast("int")).select("doc_id", "held_out", "score", "predicted", "n_words", "segments", "t1", "t2")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the documents that are predicted toxic. Rows of a null id, which can't be judged by id, stay."""
-    bad = toxicity(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return by_id(docs, bad, "left_anti")
+    """docs without the rows whose text is predicted toxic, whatever their id is or others of that id hold."""
+    return by_row(docs, _scored(docs, labels).where("predicted = 1").select("doc_id", "t1", "t2"), "left_anti")
