@@ -9,7 +9,7 @@ beyond the target go, and missing ones follow at the end.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridseek.llm.common import SPACE_WORD, durable
@@ -66,48 +66,32 @@ def schedule(targets: DataFrame, n_slots: int, block: int) -> DataFrame:
     """slot, rank of the source and turn (the slot's number within its source, from 0).
 
     Each source has as many slots as its target needs, targets being in words and slots of block words.
+    [0, 1) is cut to as many equal cells as there are sources: a point is looked up among the sources of its cell only,
+    and no source's row comes to the driver.
     """
-    spark = targets.sparkSession
-
-    def need(words: int, size: int) -> int:
-        """Slots for so many words: each pass over the source ends with a block that may be short."""
-        passes, rest = divmod(words, size)
-        return passes * -(-size // block) + -(-rest // block)
-
-    # the sources' parts of [0, 1): one row for each source
-    rows = targets.select("rank", "low", "high", "target", "source_size").where("target > 0").orderBy("rank").collect()
-    parts = [(r["rank"], r["low"], r["high"], need(int(r["target"] + 0.5), r["source_size"])) for r in rows]
-    if not parts:
-        return spark.createDataFrame([], "slot long, rank int, turn long")
+    words, size = F.round("target").cast("long"), F.col("source_size")
+    # each pass over the source ends with a block that may be short
+    passes, rest = F.floor(words / size).cast("long"), words % size
+    need = passes * F.ceil(size / F.lit(float(block))) + F.ceil(rest / F.lit(float(block)))
+    some = targets.where("target > 0").select("rank", "low", "high", need.cast("long").alias("need"))
+    n, last = some.agg(F.count("*"), F.max("rank")).first()
+    cell = lambda x: F.least(F.floor(x * n).cast("long"), F.lit(n - 1).cast("long"))
     point = ((F.col("id") + 0.5) * GOLDEN) % 1.0
-    highs = F.array(*[F.lit(float(p[2])) for p in parts[:-1]])
-    ranks, needs = (F.array(*[F.lit(p[i]) for p in parts]) for i in (0, 3))
-    at = F.size(F.filter(highs, lambda h: h <= point)) + 1 if len(parts) <= 64 else _bisected(point, highs)
-    slots = spark.range(n_slots).select(F.col("id").alias("slot"), F.element_at(ranks, at.cast("int")).alias("rank"), F.element_at(needs, at.cast("int")).alias("need"), F.floor(F.col("id") / (4 * RANGE)).alias("range"))
-    counts = slots.groupBy("rank", "range").agg(F.count("*").alias("n"), F.max("need").alias("need"))
+    high = F.when(F.col("rank") == last, 2.0).otherwise(F.col("high"))  # sums may end a little below 1
+    parts = some.withColumn("high", high).withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
+    points = targets.sparkSession.range(n_slots).select(F.col("id").alias("slot"), point.alias("point")).withColumn("cell", cell(F.col("point")))
+    slots = points.join(parts, "cell").where("point >= low and point < high").select("slot", "rank", "need", F.floor(F.col("slot") / (4 * RANGE)).alias("range"))
+    counts = slots.groupBy("rank", "range").agg(F.count("*").alias("n"))
     first = Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("rank", "range", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("base"))
     turn = F.col("base") + F.row_number().over(Window.partitionBy("rank", "range").orderBy("slot")) - 1
     ranked = slots.join(base, ["rank", "range"]).withColumn("turn", turn).where("turn < need").select("slot", "rank", "turn")
     have = counts.groupBy("rank").agg(F.sum("n").alias("have"))
-    all_ = spark.createDataFrame([(p[0], p[3]) for p in parts], "rank int, need long")
-    short = all_.join(have, "rank", "left").select("rank", "need", F.coalesce("have", F.lit(0)).alias("have")).where("have < need")
+    short = some.join(have, "rank", "left").select("rank", "need", F.coalesce("have", F.lit(0)).alias("have")).where("have < need")
     more = short.select("rank", F.explode(F.sequence("have", F.col("need") - 1)).alias("turn"))
     return ranked.unionByName(more.select((F.lit(n_slots) + F.col("turn")).alias("slot"), "rank", F.col("turn").cast("long").alias("turn")))
 
 
-def _bisected(point: Column, highs: Column) -> Column:
-    """1 + the number of sorted highs at most the point, by halving."""
-    start = F.struct(F.lit(0).alias("a"), F.size(highs).alias("b"))
-
-    def step(s: Column, _: Column) -> Column:
-        mid = ((s["a"] + s["b"]) / 2).cast("int")
-        right = (s["a"] < s["b"]) & (F.element_at(highs, F.least(mid + 1, F.size(highs))) <= point)
-        return F.struct(F.when(right, mid + 1).otherwise(s["a"]).alias("a"), F.when(right, s["b"]).otherwise(F.when(s["a"] < s["b"], mid).otherwise(s["b"])).alias("b"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, step, lambda s: s["a"]) + 1
-
-
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 1024, seed: int = 11) -> DataFrame:
     """doc_id, source, size, source_size, target and taken of each row of docs.
 

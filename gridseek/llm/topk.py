@@ -16,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of one pass over the candidates, candidates for the first thresholds, rows of a bucket.
-QUERIES, SEEDS, BUCKET = 4096, 4096, 4096
+from gridseek.llm.common import durable
+
+#: Queries of one pass over the candidates, candidates for the first thresholds, rows of a bucket, queries that are multiplied at once.
+QUERIES, SEEDS, BUCKET, TILE = 4096, 4096, 1000, 256
 #: Cosine from which coordinates are looked at.
 NARROW = 0.9
 EDGE = 1e-6
@@ -47,6 +49,12 @@ class Queries:
         self.focus = np.argsort(-np.abs(vectors), axis=1)[:, :2]
         self.least = np.full(len(ids), -np.inf)
 
+    def shortest(self) -> float:
+        """The least length of a candidate that any of the queries can still need."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            low = np.where(self.length > 0, self.least / self.length, np.where(self.least > 0, np.inf, -np.inf))
+        return float(low.min(initial=np.inf)) * (1 - EDGE) - EDGE
+
     def met(self, ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, candidate, score) of all pairs of this bucket that may be among the best k; raises the thresholds."""
         length = np.sqrt((vectors**2).sum(axis=1))
@@ -55,22 +63,19 @@ class Queries:
         with np.errstate(divide="ignore", invalid="ignore"):
             cosine = np.where(reach > 0, self.least / reach, np.where(self.least > 0, np.inf, -np.inf))
         out = []
-        wide = np.flatnonzero((cosine < NARROW) & (cosine <= 1 + EDGE))
-        if len(wide):
+        every = np.flatnonzero((cosine < NARROW) & (cosine <= 1 + EDGE))
+        for wide in (every[i : i + TILE] for i in range(0, len(every), TILE)):
             # lengths alone: those too short for each of these queries are left out
             low = (self.least[wide] / np.maximum(self.length[wide], EDGE)).min()
             some = np.flatnonzero(length >= low * (1 - EDGE) - EDGE) if low > 0 else np.arange(len(ids))
             score = _products(self.vectors[wide], vectors[some])
             # only the best k of each bucket can be among the best k
             own = self.ids[wide][:, None] == ids[some][None, :]
-            enough = np.where(own, np.iinfo(np.int64).min, score)
             if len(some) > self.k:
+                enough = np.where(own, np.iinfo(np.int64).min, score)
                 kth = np.partition(enough, len(some) - self.k, axis=1)[:, len(some) - self.k]
-                bound = np.maximum(kth.astype(float), self.least[wide])
-                self.least[wide] = bound
-            else:
-                bound = self.least[wide]
-            q, c = np.nonzero((score >= bound[:, None]) & ~own)
+                self.least[wide] = np.maximum(kth.astype(float), self.least[wide])
+            q, c = np.nonzero((score >= self.least[wide][:, None]) & ~own)
             out.append((wide[q], some[c], score[q, c]))
         unit = None
         for q in np.flatnonzero((cosine >= NARROW) & (cosine <= 1 + EDGE)):
@@ -122,23 +127,27 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
     """
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & fine)
-    length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    # by length and then id, so that a common length spreads out
-    dealt = rows.withColumn("length", length).repartitionByRange(F.desc("length"), F.col("vec_id")).sortWithinPartitions(F.desc("length"), "vec_id").select("vec_id", "embedding")
-    longest = rows.withColumn("length", length).orderBy(F.desc("length"), "vec_id").limit(SEEDS).select("vec_id", "embedding")
-    seeds = longest.toArrow().combine_chunks()
-    spark = vectors.sparkSession
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
+    # of the scaled and rounded vector, as the thresholds are
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.floor(x.cast("double") * scale).cast("double") * F.floor(x.cast("double") * scale).cast("double")))
+    # by length and then id, so that a common length spreads out; stored once, so that a block of queries reads the files and row groups of its lengths only
+    dealt = durable(rows.withColumn("length", length).repartitionByRange(F.desc("length"), F.col("vec_id")).sortWithinPartitions(F.desc("length"), "vec_id"))
+    seeds = dealt.orderBy(F.desc("length"), "vec_id").limit(SEEDS).select("vec_id", "embedding").toArrow().combine_chunks()
+    asked = dealt.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "embedding")
     n_blocks = max(1, -(-asked.count() // QUERIES))
     results = None
     for block in range(n_blocks):
         # a hashed share of the queries; what is collected has a fixed expected size
         own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == block) if n_blocks > 1 else asked
         found = _answered(dealt, own.toArrow().combine_chunks(), seeds, k, scale)
+        if n_blocks > 1:  # a block's answers are stored, so that the plan doesn't grow with their number
+            found = durable(_top(found, k))
         results = found if results is None else results.unionByName(found)
+    return _top(results, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("row", "query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = results.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.select("row", "query_id", "vec_id", "score").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def _answered(dealt: DataFrame, queries: pa.Table, seeds: pa.Table, k: int, scale: float) -> DataFrame:
@@ -155,6 +164,8 @@ def _answered(dealt: DataFrame, queries: pa.Table, seeds: pa.Table, k: int, scal
             if size in groups:
                 groups[size].met(ids[at], vectors)
     shared = dealt.sparkSession.sparkContext.broadcast(groups)
+    shortest = min((g.shortest() for g in groups.values()), default=float("inf"))
+    near = dealt.where(F.col("length") >= shortest).select("vec_id", "embedding")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import copy
@@ -176,4 +187,4 @@ def _answered(dealt: DataFrame, queries: pa.Table, seeds: pa.Table, k: int, scal
                 out = [tuple(x.to_numpy() for x in _best(out, k).columns)]
         yield _best(out, k)
 
-    return dealt.mapInArrow(run, "row long, query_id long, vec_id long, score long")
+    return near.mapInArrow(run, "row long, query_id long, vec_id long, score long")
