@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridseek.plans.lineage import settled
 from gridseek.plans.sizes import small_side
 
 
@@ -26,13 +27,19 @@ def connected(cells: DataFrame, query: DataFrame, delta: float = 0, keys: tuple[
     if delta <= 1:
         near = _around(own, "cx", "cy").distinct()
         return cells.join(small_side(near), [*by, "cx", "cy"], "left_semi").select(*keys).distinct()
+    # any two cells of a small square are within delta: what shares one is connected and needs no more looks
+    small = int(delta / 2**0.5) + 1
+    tiles = [F.floor(F.col(c) / small).alias(t) for c, t in (("cx", "tx"), ("cy", "ty"))]
+    mine = cells.select(*dict.fromkeys((*keys, *by)), "cx", "cy")
+    sure = settled(mine.select("*", *tiles).join(small_side(own.select(*by, *tiles).distinct()), [*by, "tx", "ty"], "left_semi").select(*keys).distinct())
+    rest = mine.join(small_side(sure), list(keys), "left_anti")
     # squares of the side delta: what is within delta is in the same or a neighbouring square
     side = max(1, int(-(-delta // 1)))
     square = {"bx": F.floor(F.col("cx") / side), "by_": F.floor(F.col("cy") / side)}
     near = _around(own.withColumns(square), "bx", "by_").select(*by, "bx", "by_", F.col("cx").alias("qx"), F.col("cy").alias("qy"))
     apart = (F.col("cx") - F.col("qx")) * (F.col("cx") - F.col("qx")) + (F.col("cy") - F.col("qy")) * (F.col("cy") - F.col("qy"))
-    met = cells.select(*dict.fromkeys((*keys, *by)), "cx", "cy").withColumns(square).join(small_side(near), [*by, "bx", "by_"])
-    return met.where(apart <= float(delta) * float(delta)).select(*keys).distinct()
+    met = rest.withColumns(square).join(small_side(near), [*by, "bx", "by_"])
+    return sure.unionByName(met.where(apart <= float(delta) * float(delta)).select(*keys).distinct())
 
 
 def is_connected(one: DataFrame, other: DataFrame, delta: float = 0) -> bool:

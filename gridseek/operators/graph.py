@@ -2,27 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridseek.operators.keys import keys_of
+from gridseek.operators.overlap import CROWD
+from gridseek.sources.points import stored_or_made
+
 
 def overlap_graph(cells: DataFrame) -> DataFrame:
-    """edges(src, dst, w): both directions of each two datasets that share w > 0 cells.
+    """edges(src, dst, w), with sources also src_source and dst_source: both directions of each two datasets that share w > 0 cells.
 
     Cells of a single dataset go before the join. Pairs are counted once, in one direction, partly
-    before the shuffle; the other direction is added to the sums.
+    before the shuffle; the other direction is added to the sums. A cell of many datasets is dealt out to several tasks.
     """
-    own = cells.select("dataset_id", "cx", "cy").distinct()
-    shared = own.join(own.groupBy("cx", "cy").agg(F.count("*").alias("n")).where("n > 1").drop("n"), ["cx", "cy"])
-    a, b = (shared.select("cx", "cy", F.col("dataset_id").alias(n)) for n in ("src", "dst"))
-    half = a.join(b, ["cx", "cy"]).where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
-    ends = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    return half.select(ends.alias("e"), "w").select("e.src", "e.dst", "w")
+    keys = keys_of(cells)
+    names = {"dataset_id": "", "source_id": "_source"}
+    own = cells.select(*keys, "cx", "cy").distinct()
+    crowds = own.groupBy("cx", "cy").agg(F.count("*").alias("n")).where("n > 1").select("cx", "cy", F.ceil(F.col("n") / F.lit(float(CROWD))).cast("int").alias("parts"))
+    shared = own.join(crowds, ["cx", "cy"])
+    ends = {side: [F.col(c).alias(side + names[c]) for c in keys] for side in ("src", "dst")}
+    one = shared.select("cx", "cy", F.pmod(F.xxhash64(*keys), F.col("parts")).cast("int").alias("part"), *ends["src"])
+    other = shared.select("cx", "cy", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *ends["dst"])
+    pairs = one.join(other, ["cx", "cy", "part"])
+    src, dst = ([side + names[c] for c in keys] for side in ("src", "dst"))
+    half = pairs.where(F.struct(*src) < F.struct(*dst)).groupBy(*src, *dst).agg(F.count("*").alias("w"))
+    turned = F.struct(*[F.col(a).alias(b) for a, b in zip((*src, *dst), (*dst, *src))])
+    both = half.select(F.explode(F.array(F.struct(*src, *dst), F.struct(*[turned[c].alias(c) for c in (*src, *dst)]))).alias("e"), "w")
+    return both.select(*[F.col(f"e.{c}").alias(c) for c in (*src, *dst)], "w")
+
+
+def load_or_make_graph(spark: SparkSession, path: str, cells: DataFrame) -> DataFrame:
+    """The graph that is stored at path; where there is none it is made of the cells and stored."""
+    return stored_or_made(spark, path, lambda: overlap_graph(cells))
 
 
 def sorted_graph(edges: DataFrame) -> DataFrame:
     """edges with rank among the edges of src, from the greatest weight, ties by dst."""
-    order = Window.partitionBy("src").orderBy(F.desc("w"), "dst")
+    src, dst = ([c for c in edges.columns if c.startswith(side)] for side in ("src", "dst"))
+    order = Window.partitionBy(*src).orderBy(F.desc("w"), *dst)
     return edges.withColumn("rank", F.row_number().over(order).cast("long"))
 
 

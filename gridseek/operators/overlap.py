@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from gridseek.functions.grid import boxes_meet, common_box
 from gridseek.operators.index import leaves, positional_lists, tree_nodes
+from gridseek.operators.keys import keys_of, without
 from gridseek.operators.profile import box_candidates, profiles, query_box
+from gridseek.plans.lineage import settled
 from gridseek.plans.sizes import small_side
 
 
@@ -27,19 +29,15 @@ def overlaps(cells: DataFrame, query: DataFrame) -> DataFrame:
 
     The query's side is sent to all executors if it is small by measure; else both sides are shuffled.
     """
-    keys = [c for c in ("source_id", "dataset_id") if c in cells.columns]
+    keys = keys_of(cells)
     return cells.join(small_side(query_cells(query)), ["cx", "cy"]).groupBy(*keys).agg(F.count("*").alias("overlap"))
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    keys = [c for c in ("source_id", "dataset_id") if c in found.columns]
+    keys = keys_of(found)
     return found.where("overlap > 0").orderBy(F.desc("overlap"), *reversed(keys)).limit(k).select(*keys, "overlap")
 
 
-def _keys(cells: DataFrame) -> list[str]:
-    return [c for c in ("source_id", "dataset_id") if c in cells.columns]
-
-
 def _within(cells: DataFrame, query: DataFrame) -> DataFrame:
     """Cells within the query's box; on sorted files the condition reaches the reader as bounds where they are literals."""
     box = query_box(query)
@@ -48,7 +46,7 @@ def _within(cells: DataFrame, query: DataFrame) -> DataFrame:
 
 
 def _of(cells: DataFrame, candidates: DataFrame) -> DataFrame:
-    return cells.join(small_side(candidates.select(*_keys(cells))), _keys(cells), "left_semi")
+    return cells.join(small_side(candidates.select(*keys_of(cells))), keys_of(cells), "left_semi")
 
 
 def by_cells(cells: DataFrame, query: DataFrame, k: int) -> DataFrame:
@@ -62,19 +60,18 @@ def by_prefix(cells: DataFrame, query: DataFrame, k: int) -> DataFrame:
     The datasets of the rarest cells give a first k-th score t. A dataset with more than t - 1 cells of
     the query must have one among all but its last t - 1, so that those datasets are all candidates.
     """
-    frequency = cells.join(small_side(query_cells(query)), ["cx", "cy"]).groupBy("cx", "cy").agg(F.count("*").alias("often"))
+    keys = keys_of(cells)
+    hits = settled(cells.join(small_side(query_cells(query)), ["cx", "cy"]).select(*keys, "cx", "cy"))
+    frequency = settled(hits.groupBy("cx", "cy").agg(F.count("*").alias("often")))
     total = frequency.count()
-    if not total:
-        return by_cells(cells, query, k)
     # places in the query's own order: as many rows as the query has cells
-    places = frequency.withColumn("place", F.row_number().over(Window.orderBy("often", "cx", "cy")))
-    keys = _keys(cells)
-    hits = cells.join(small_side(places.select("cx", "cy", "place")), ["cx", "cy"])
-    first = hits.where(F.col("place") <= max(1, total // 4)).groupBy(*keys).agg(F.count("*").alias("seen"))
+    places = settled(frequency.select("cx", "cy", F.row_number().over(Window.orderBy("often", "cx", "cy")).alias("place")))
+    placed = hits.join(small_side(places), ["cx", "cy"])
+    first = placed.where(F.col("place") <= max(1, total // 4)).groupBy(*keys).agg(F.count("*").alias("seen"))
     sure = first.orderBy(F.desc("seen")).limit(k).agg(F.min("seen").alias("t"), F.count("*").alias("n")).first()
     t = sure["t"] if sure["n"] == k else 1
-    candidates = hits.where(F.col("place") <= total - t + 1).select(*keys).distinct()
-    return _best(overlaps(_of(cells, candidates), query), k)
+    candidates = placed.where(F.col("place") <= total - t + 1).select(*keys).distinct()
+    return _best(hits.join(small_side(candidates), keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("overlap")), k)
 
 
 def by_range(cells: DataFrame, query: DataFrame, k: int) -> DataFrame:
@@ -88,16 +85,14 @@ def by_boxes(cells: DataFrame, query: DataFrame, k: int) -> DataFrame:
 
 
 def by_all(cells: DataFrame, query: DataFrame, k: int) -> DataFrame:
-    """Sets of all datasets against the query's, one row for each dataset and no pruning."""
-    keys = _keys(cells)
-    own = query_cells(query).agg(F.collect_set(F.struct("cx", "cy")).alias("q"))
-    sets = cells.groupBy(*keys).agg(F.collect_set(F.struct("cx", "cy")).alias("c"))
-    return _best(sets.join(F.broadcast(own)).select(*keys, F.size(F.array_intersect("c", "q")).cast("long").alias("overlap")), k)  # one row
+    """All cells of all datasets, marked where the query has them, and no pruning."""
+    mine = small_side(query_cells(query)).withColumn("shared", F.lit(1).cast("long"))
+    return _best(cells.join(mine, ["cx", "cy"], "left").groupBy(*keys_of(cells)).agg(F.coalesce(F.sum("shared"), F.lit(0).cast("long")).alias("overlap")), k)
 
 
 def by_slices(cells: DataFrame, query: DataFrame, k: int) -> DataFrame:
     """Column by column: the rows of each column of a dataset against the query's."""
-    keys = _keys(cells)
+    keys = keys_of(cells)
     mine = query_cells(query).groupBy("cx").agg(F.collect_set("cy").alias("q"))
     slices = cells.groupBy(*keys, "cx").agg(F.collect_set("cy").alias("c"))
     shared = slices.join(small_side(mine), "cx").select(*keys, F.size(F.array_intersect("c", "q")).cast("long").alias("n"))
@@ -106,8 +101,8 @@ def by_slices(cells: DataFrame, query: DataFrame, k: int) -> DataFrame:
 
 def by_bound(cells: DataFrame, query: DataFrame, k: int) -> DataFrame:
     """Datasets by the bound that the common box sets: first the k of the greatest bound, then those whose bound reaches their score."""
-    keys = _keys(cells)
-    bounds = upper_bounds(cells, query)
+    keys = keys_of(cells)
+    bounds = settled(upper_bounds(cells, query))
     first = overlaps(_of(cells, bounds.orderBy(F.desc("bound"), *keys).limit(k)), query)
     sure = first.agg(F.min("overlap").alias("t"), F.count("*").alias("n")).first()
     least = sure["t"] if sure["n"] == k else 1
@@ -123,7 +118,7 @@ def by_leaves(cells: DataFrame, query: DataFrame, k: int, capacity: int = 10) ->
 
 def by_clipped(cells: DataFrame, query: DataFrame, k: int) -> DataFrame:
     """Datasets whose box meets the query's, each clipped to the common box."""
-    keys = _keys(cells)
+    keys = keys_of(cells)
     met = box_candidates(profiles(cells), query).drop("common").join(F.broadcast(query_box(query)))  # one row
     box = met.select(*keys, *[c.alias(f"c_{name}") for name, c in common_box("", "q_").items()])
     inside = cells.join(small_side(box), keys).where(F.col("cx").between(F.col("c_min_cx"), F.col("c_max_cx")) & F.col("cy").between(F.col("c_min_cy"), F.col("c_max_cy")))
@@ -147,16 +142,16 @@ STRATEGIES: dict[str, Callable[[DataFrame, DataFrame, int], DataFrame]] = {
 def top_k_overlap(cells: DataFrame, query: DataFrame, k: int = 10, strategy: str = "sts3", exclude: object = None) -> DataFrame:
     """dataset_id (and source_id) and overlap: the k greatest overlaps above 0, ties to the smaller id.
 
-    exclude: an id that is left out, such as the query's own.
+    exclude: an id that is left out, such as the query's own, or a pair (source, id) where sources share ids.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {', '.join(STRATEGIES)}")
-    return STRATEGIES[strategy](cells if exclude is None else cells.where(F.col("dataset_id") != exclude), query, k)
+    return STRATEGIES[strategy](without(cells, exclude), query, k)
 
 
 def upper_bounds(cells: DataFrame, query: DataFrame) -> DataFrame:
     """Datasets whose box meets the query's, and bound: the lesser of both numbers of cells within the common box."""
-    keys = _keys(cells)
+    keys = keys_of(cells)
     met = box_candidates(profiles(cells), query).drop("common").join(F.broadcast(query_box(query)))  # one row
     box = met.select(*keys, *[c.alias(f"c_{name}") for name, c in common_box("", "q_").items()])
     inside = F.col("cx").between(F.col("c_min_cx"), F.col("c_max_cx")) & F.col("cy").between(F.col("c_min_cy"), F.col("c_max_cy"))
@@ -167,15 +162,41 @@ def upper_bounds(cells: DataFrame, query: DataFrame) -> DataFrame:
 
 
 def overlap_batch(cells: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
-    """query_id, rank, dataset_id and overlap: the best k datasets of each of many queries, themselves left out."""
-    own = queries.select(F.col("dataset_id").alias("query_id"), "cx", "cy").distinct()
-    counts = cells.select("dataset_id", "cx", "cy").join(own, ["cx", "cy"]).where("query_id != dataset_id").groupBy("query_id", "dataset_id").agg(F.count("*").alias("overlap"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "dataset_id")
-    return counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "dataset_id", "overlap")
+    """query_id, rank, dataset_id and overlap (with sources: query_source and source_id): the best k datasets of each of many queries, themselves left out."""
+    keys = keys_of(cells, queries)
+    names = {"dataset_id": "query_id", "source_id": "query_source"}
+    asked = [names[c] for c in keys]
+    own = queries.select(*[F.col(c).alias(names[c]) for c in keys], "cx", "cy").distinct()
+    same = F.lit(True)
+    for c in keys:
+        same &= F.col(c) == F.col(names[c])
+    shared = salted(cells.select(*keys, "cx", "cy").distinct(), own)
+    counts = shared.where(~same).groupBy(*asked, *keys).agg(F.count("*").alias("overlap"))
+    best = Window.partitionBy(*asked).orderBy(F.desc("overlap"), *reversed(keys))
+    return counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(*asked, F.col("rank").cast("long").alias("rank"), *keys, "overlap")
+
+
+#: Datasets of one cell that a task meets with all others of it.
+CROWD = 1000
+
+
+def salted(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The join of both on (cx, cy), less cells that one side lacks; a cell of many datasets is dealt out in parts of CROWD of its rows of one."""
+    crowds = one.groupBy("cx", "cy").agg(F.ceil(F.count("*") / F.lit(float(CROWD))).cast("int").alias("parts"))
+    parted = other.join(crowds, ["cx", "cy"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    dealt = one.join(crowds, ["cx", "cy"]).withColumn("part", F.pmod(F.xxhash64(*keys_of(one)), F.col("parts")).cast("int")).drop("parts")
+    return dealt.join(parted, ["cx", "cy", "part"]).drop("part")
 
 
 def positional_overlaps(cells: DataFrame, query: DataFrame) -> DataFrame:
-    """dataset_id, overlap, first and last place of a shared cell and the dataset's size, from positional lists."""
+    """dataset_id (and source_id), overlap, first and last place of a shared cell and the dataset's size, from positional lists."""
     lists = positional_lists(cells)
     mine = query.select("cell_id").distinct()
-    return lists.join(small_side(mine), "cell_id").groupBy("dataset_id", "size").agg(F.count("*").alias("overlap"), F.min("position").alias("first"), F.max("position").alias("last"))
+    return lists.join(small_side(mine), "cell_id").groupBy(*keys_of(cells), "size").agg(F.count("*").alias("overlap"), F.min("position").alias("first"), F.max("position").alias("last"))
+
+
+def random_queries(cells: DataFrame, n: int = 1, seed: int = 0) -> DataFrame:
+    """The cells of n datasets drawn by a hash of their keys, so that a seed always draws the same."""
+    keys = keys_of(cells)
+    drawn = cells.select(*keys).distinct().orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    return cells.join(F.broadcast(drawn), keys, "left_semi").select(*cells.columns)  # n rows

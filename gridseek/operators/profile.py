@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridseek.functions.grid import Grid, ball_gap, boxes_meet, common_cells
+from gridseek.operators.keys import keys_of
 
 
-def _with_ball(boxes: DataFrame) -> DataFrame:
+def with_ball(boxes: DataFrame) -> DataFrame:
     """pivot: the middle of the box; radius: half its diagonal."""
     w, h = F.col("max_cx") - F.col("min_cx"), F.col("max_cy") - F.col("min_cy")
     return boxes.withColumns(
@@ -22,19 +23,19 @@ def _with_ball(boxes: DataFrame) -> DataFrame:
 
 def boxes(cells: DataFrame, *keys: str) -> DataFrame:
     bounds = [f(c).alias(f"{m}_{c}") for m, f in (("min", F.min), ("max", F.max)) for c in ("cx", "cy")]
-    return _with_ball(cells.groupBy(*keys).agg(*bounds, F.count("*").alias("n_cells")))
+    return with_ball(cells.groupBy(*keys).agg(*bounds, F.count("*").alias("n_cells")))
 
 
 def profiles(cells: DataFrame) -> DataFrame:
     """Box, ball and number of cells of each dataset."""
-    keys = [c for c in ("source_id", "dataset_id") if c in cells.columns]
+    keys = keys_of(cells)
     return boxes(cells, *keys)
 
 
 def source_profiles(cells: DataFrame) -> DataFrame:
     """Box, ball and number of datasets of each source, from the datasets' boxes."""
     bounds = [f(f"{m}_{c}").alias(f"{m}_{c}") for m, f in (("min", F.min), ("max", F.max)) for c in ("cx", "cy")]
-    return _with_ball(profiles(cells).groupBy("source_id").agg(*bounds, F.count("*").alias("n_datasets")))
+    return with_ball(profiles(cells).groupBy("source_id").agg(*bounds, F.count("*").alias("n_datasets")))
 
 
 def prefixed(frame: DataFrame, prefix: str) -> DataFrame:

@@ -6,8 +6,10 @@ of its points lie in each.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,15 +79,38 @@ def gridded(points: DataFrame, grid: Grid) -> DataFrame:
 def cells_of(points: DataFrame, grid: Grid) -> DataFrame:
     """cells of points(source_id, dataset_id, lng, lat): one aggregation, partly before its shuffle."""
     keys = [c for c in ("source_id", "dataset_id") if c in points.columns]
-    return gridded(points, grid).groupBy(*keys, "cx", "cy", "cell_id").agg(F.count("*").alias("density"))
+    counted = gridded(points, grid).groupBy(*keys, "cx", "cy").agg(F.count("*").alias("density"))
+    return counted.select(*keys, "cx", "cy", grid.cell_id(F.col("cx"), F.col("cy")).alias("cell_id"), "density")
 
 
 def write_cells(cells: DataFrame, path: str, theta: int) -> None:
     """The cache of a grid: by source, and sorted so that a box reads few row groups."""
     out = cells.withColumn("theta", F.lit(theta)).repartitionByRange("source_id", "cx", "cy").sortWithinPartitions("source_id", "cx", "cy")
-    out.write.mode("overwrite").partitionBy("theta", "source_id").parquet(path)
+    # other resolutions stay
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("theta", "source_id").parquet(path)
 
 
 def read_cells(spark: SparkSession, path: str, theta: int) -> DataFrame:
     cells = spark.read.parquet(path).where(F.col("theta") == theta)
     return cells.select(F.col("source_id").cast("string").alias("source_id"), "dataset_id", "cx", "cy", "cell_id", "density")
+
+
+def stored_or_made(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path; where there is none, make() is written there first."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        make().write.parquet(path)
+        return spark.read.parquet(path)
+
+
+def load_or_make_cells(spark: SparkSession, path: str, theta: int, points: Callable[[], DataFrame]) -> DataFrame:
+    """The cells that are stored at path for that resolution; where there are none, those of the points are made and stored beside other resolutions."""
+    try:
+        known = read_cells(spark, path, theta)
+        if not known.isEmpty():
+            return known
+    except AnalysisException:
+        pass
+    write_cells(cells_of(points(), Grid(theta)), path, theta)
+    return read_cells(spark, path, theta)
