@@ -31,6 +31,8 @@ from gridseek.llm.components import components
 SMALL, CENTRAL = 16, 2
 #: Rows of a file of what is cut off on the way.
 ROWS = 1 << 17
+#: The same for whole sets, which are wider.
+SETS = 1 << 12
 #: Numbers of sets from which a token counts as more frequent, as far as there are such tokens.
 OFTEN = (2, 4, 16, 64, *(8**i for i in range(3, 13)))
 
@@ -252,7 +254,7 @@ def _linked(texts: DataFrame, own: DataFrame, percent: int, width: int, trees: i
 
     def of(ids: DataFrame) -> DataFrame:
         wanted = K.Bloom.of(ids.select(F.xxhash64("id").alias("key")).distinct(), "key", bloom_bits)
-        return durable(_sets(texts.where("doc_id is not null"), width, wanted), ROWS)
+        return durable(_sets(texts.where("doc_id is not null"), width, wanted), SETS)
 
     # each member with its node's first or central members
     small, large = nodes.where(F.col("size") <= SMALL), nodes.where(F.col("size") > SMALL)
