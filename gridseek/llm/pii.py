@@ -30,10 +30,13 @@ SSN = r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"
 DATE = r"(?:19|20)[0-9]{2}([-/.])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])([-/.])(?:0[1-9]|1[0-2])\2(?:19|20)[0-9]{2}|(?:0[1-9]|1[0-2])([-/.])(?:1[3-9]|2[0-9]|3[01])\3(?:19|20)[0-9]{2}"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
-SECRET = r"(?<=(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\x22']{0,1} {0,1}[:=]{1,2} {0,1}[\x22']{0,1})[A-Za-z0-9+/_-]{16,128}+"
+#: The sign before and the length are looked at first: the names before would else be tried at each place.
+SECRET = r"(?<=[:=\x22' ])(?=[A-Za-z0-9+/_-]{16})(?<=(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\x22']{0,1} {0,1}[:=]{1,2} {0,1}[\x22']{0,1})[A-Za-z0-9+/_-]{16,128}+"
 #: What may not stand next to a value.
 BEFORE, AFTER = r"(?<![A-Za-z0-9._%+@-])", r"(?![A-Za-z0-9@]|[._-][A-Za-z0-9])"
-FOUND = rf"(?:{BEFORE}(?:{EMAIL}|{IPV4}|{DATE}|{PHONE}|{INTERNATIONAL}|{SSN}|{CARD}|{IBAN}|{IPV6})|{SECRET}){AFTER}"
+#: The first characters decide which kinds are tried.
+NUMBERS = rf"(?=[0-9+(])(?:{IPV4}|{DATE}|{PHONE}|{INTERNATIONAL}|{SSN}|{CARD})"
+FOUND = rf"(?:{BEFORE}(?:{NUMBERS}|(?=[A-Za-z0-9._%+-]++@){EMAIL}|(?=[A-Z]{{2}}[0-9]){IBAN}|(?=[0-9A-Fa-f]{{1,4}}:)(?:{IPV6}))|{SECRET}){AFTER}"
 #: Days of the calendar that dates are permuted in: 1900-01-01 to 2099-12-31 = 229 * 319.
 FIRST_DAY, DAYS = "1900-01-01", (229, 319)
 
