@@ -173,10 +173,12 @@ def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int, bloom_bits: i
     parts = lists.groupBy("token", "component").agg(F.count("*").alias("m"))
     main = parts.groupBy("token").agg(F.max_by("component", "m").alias("main"), F.count("*").alias("parts")).where("parts > 1").select(plain("token").alias("key"), "main")
     apart = durable(lists.withColumn("key", plain("token")).join(main, "key").drop("key"), ROWS)
+    # two of them meet once only
     outside = apart.where("component != main").select("token", F.col("id").alias("other"), F.col("n").alias("n_other"), F.col("component").alias("theirs"), F.col("place").alias("their_place"))
     common = F.least(F.col("n") - F.col("place"), F.col("n_other") - F.col("their_place"))
     near = (F.col("component") != F.col("theirs")) & (100 * common >= percent * (F.col("n") + F.col("n_other") - common))
-    return _pairs(apart.join(outside, "token").where(near), "id", "n", "other", "n_other", percent)
+    once = (F.col("component") == F.col("main")) | (F.col("id") < F.col("other"))
+    return _pairs(apart.join(outside, "token").where(near & once), "id", "n", "other", "n_other", percent)
 
 
 def _node_sizes(rows: DataFrame) -> DataFrame:
@@ -276,7 +278,8 @@ def _linked(texts: DataFrame, own: DataFrame, percent: int, width: int, trees: i
     members = left.where(F.col("size") > SMALL).select("id", "component").distinct()
     if not members.isEmpty():
         pairs = pairs.unionAll(_rare_pairs(members, of(members), percent, bloom_bits)).distinct()
-    more = confirmed(pairs.join(tried, ["a", "b"], "left_anti"))
+    # a table of its own: what was tried is taken out of different pairs, not of each token that makes them
+    more = confirmed(durable(pairs, ROWS).join(tried, ["a", "b"], "left_anti"))
     return found if more.isEmpty() else components(links.unionAll(more))
 
 
