@@ -1,7 +1,7 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-A word stands for its most telling feature: itself or one of its beginnings. Features are hashed into a
-fixed number of buckets. Their log-odds between toxic and clean documents have a Dirichlet prior in
+A word stands for its most telling feature: itself or one of its beginnings. Features are 64-bit hashes, counted
+by Spark, so that no table is of a fixed size. Their log-odds between toxic and clean documents have a Dirichlet prior in
 proportion to the counts in all documents; only features whose likelihood ratio is significant
 score, and of these only such as keep being significant when each pair of neighbouring words counts once,
 and have pairs enough for the texts that hold them. Labelled copies, which are texts of the same words in the same
@@ -24,14 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridseek.llm import kernels as K
-from gridseek.llm.common import bounded_batches, by_row, durable, text_keys
+from gridseek.llm.common import bounded_batches, by_row, discard, durable, text_keys
 
 BEGINNINGS = (3, 4, 5, 6)
 
 
 @dataclass
 class Model:
-    weights: np.ndarray  # log-odds by bucket, 0 where they say nothing
+    features: np.ndarray  # sorted hashes of the features that score
+    weights: np.ndarray  # their log-odds
     drift: float
     location: float = 0.0
     spread: float = 1.0
@@ -44,129 +45,165 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def _features(column: pa.Array, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first text, number of words of each text, text of each word, buckets of each word's features) for runs of texts."""
+def _features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, number of words of each text, text of each word, hashes of each word's features) for runs of texts."""
     for i, _, data, offsets in K.chunks(column, K.CHUNK // 2):
         data = K.LOWER[data]
         starts, ends, text = K.words(data, offsets, K.ALNUM)
         up, down = K.powers(K.BASE, len(data) + 1)
         total = np.zeros(len(data) + 1, dtype=K.U)
         np.cumsum((data.astype(K.U) + K.U(1)) * up[: len(data)], out=total[1:])
-        buckets = np.empty((1 + len(BEGINNINGS), len(starts)), dtype=np.int64)
+        hashes = np.empty((1 + len(BEGINNINGS), len(starts)), dtype=K.U)
         for row, n in enumerate((0, *BEGINNINGS)):
             to = np.minimum(starts + n, ends) if n else ends
             # a word of up to n bytes is its own beginning, told from the word by n
-            h = K.mix((total[to] - total[starts]) * down[starts] + (to - starts).astype(K.U) + K.U(n * 0x10001))
-            buckets[row] = (h >> K.U(64 - bits)).view(np.int64)
-        yield i, np.bincount(text, minlength=len(offsets) - 1), text, buckets
+            hashes[row] = K.mix((total[to] - total[starts]) * down[starts] + (to - starts).astype(K.U) + K.U(n * 0x10001))
+        yield i, np.bincount(text, minlength=len(offsets) - 1), text, hashes
 
 
-def _wordings(per: np.ndarray, buckets: np.ndarray, bits: int) -> np.ndarray:
+def _wordings(per: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """A hash of the words of each text in their order; copies have equal ones."""
     first = np.cumsum(per) - per
-    place = np.arange(buckets.shape[1]) - np.repeat(first, per)
-    h = K.mix(K.mix((buckets[0] << bits | buckets[-1]).view(K.U)) + place.astype(K.U))
+    place = np.arange(hashes.shape[1]) - np.repeat(first, per)
+    h = K.mix(K.mix(hashes[0]) + place.astype(K.U))
     total = np.zeros(len(h) + 1, dtype=K.U)
     np.cumsum(h, out=total[1:])
     return (total[first + per] - total[first]).view(np.int64)
 
 
-def _labelled(docs: DataFrame, frame: DataFrame, bits: int, sample: int) -> pd.DataFrame:
-    """wording, toxic and copies of at most `sample` texts that the labels are of."""
+class _Known:
+    """Finds the few features that matter among all of a text: by leading bits first, then by the whole hash."""
+
+    def __init__(self, features: np.ndarray) -> None:
+        self.features = np.sort(features.view(K.U))
+        self.shift = K.U(64 - min(24, max(12, int(len(features)).bit_length() + 6)))
+        self.leading = np.zeros(1 << int(64 - self.shift), dtype=bool)
+        self.leading[self.features >> self.shift] = True
+
+    def among(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word and place among the sorted features of each hit."""
+        row, word = np.nonzero(self.leading[hashes >> self.shift])
+        h = hashes[row, word]
+        at = np.minimum(np.searchsorted(self.features, h), max(0, len(self.features) - 1))
+        hit = self.features[at] == h if len(self.features) else np.zeros(len(h), bool)
+        return word[hit], at[hit]
+
+
+def _labelled(docs: DataFrame, frame: DataFrame) -> DataFrame:
+    """wording, toxic and text of the labelled documents, copies once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wording = np.zeros(len(batch), dtype=np.int64)
-            for i, per, _, buckets in _features(batch.column("text"), bits):
-                wording[i : i + len(per)] = _wordings(per, buckets, bits)
-            yield pa.RecordBatch.from_arrays([pa.array(wording), batch.column("toxic")], names=["wording", "toxic"])
+            for i, per, _, hashes in _features(batch.column("text")):
+                wording[i : i + len(per)] = _wordings(per, hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(wording), batch.column("toxic"), batch.column("text")], names=["wording", "toxic", "text"])
 
     # of the bounded sample only: a join with it is enough
-    rows = docs.join(F.broadcast(frame), "doc_id").select("text", "toxic").mapInArrow(run, "wording long, toxic long")
-    return rows.groupBy("wording", "toxic").agg(F.count("*").alias("copies")).orderBy(F.xxhash64("wording"), "wording", "toxic").limit(sample).toPandas().sort_values(["toxic", "wording"])
+    rows = docs.join(F.broadcast(frame), "doc_id").select("text", "toxic").mapInArrow(run, "wording long, toxic long, text string")
+    # copies have the same features, whichever of them stays
+    return durable(rows.groupBy("wording", "toxic").agg(F.first("text").alias("text")))
+
+
+def _telling(labelled: DataFrame, n_toxic: int, n_clean: int, least: float) -> pd.DataFrame:
+    """feature, toxic and clean (labelled texts with it) of features that toxic texts hold significantly more often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.column("toxic").to_numpy(zero_copy_only=False)
+            for i, _, text, hashes in _features(batch.column("text")):
+                of = np.broadcast_to(text, hashes.shape).ravel()
+                # each feature of a text once
+                _, once = np.unique(K.mix(hashes.ravel() ^ K.mix(of.astype(K.U))), return_index=True)
+                feature, at = np.unique(hashes.ravel()[once], return_inverse=True)
+                bad = np.bincount(at, kind[i + of[once]], minlength=len(feature)).astype(np.int64)
+                both = np.bincount(at, minlength=len(feature))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (feature.view(np.int64), bad, both - bad)], names=["feature", "toxic", "clean"])
 
+    counts = labelled.mapInArrow(run, "feature long, toxic long, clean long").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean")])
+    more = F.col("toxic") * n_clean > F.col("clean") * n_toxic
+    return counts.where(more & (_ratio("toxic", "clean", n_toxic, n_clean) >= least)).orderBy("feature").toPandas()
 
-def _counts(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, bits: int, texts: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """By bucket: occurrences in all documents; different labelled texts with the feature, toxic and clean."""
-    # each of n copies counts as one n-th of a text
-    copies = [(t["wording"].to_numpy(), t["copies"].to_numpy()) for t in (texts[texts["toxic"] == y] for y in (0, 1))]
-    shared = docs.sparkSession.sparkContext.broadcast((ids, toxic, copies))
+
+def _seen(docs: DataFrame, features: np.ndarray) -> tuple[np.ndarray, int]:
+    """Occurrences of each feature, and of all features, in all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, toxic, copies = shared.value
-        size = 1 << bits
-        seen, by = np.zeros(size, dtype=np.int64), np.zeros((2, size))
+        known = _Known(shared.value)
         for batch in batches:
-            own = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            at = np.minimum(np.searchsorted(ids, own), max(0, len(ids) - 1))
-            known = ids[at] == own if len(ids) else np.zeros(len(own), bool)
-            kind = np.where(known, toxic[at], -1) if len(ids) else np.full(len(own), -1)
-            for i, per, text, buckets in _features(batch.column("text"), bits):
-                seen += np.bincount(buckets.ravel(), minlength=size)
-                of, wording = kind[i + text], _wordings(per, buckets, bits)
-                for y in (0, 1):
-                    some = of == y
-                    if not some.any():
-                        continue
-                    hashes, n = copies[y]
-                    at_ = np.minimum(np.searchsorted(hashes, wording), len(n) - 1)
-                    share = np.where(hashes[at_] == wording, 1 / n[at_], 0) if len(n) else np.zeros(len(wording))
-                    pairs = np.unique((text[some].astype(np.int64) << bits | buckets[:, some]).ravel())
-                    by[y] += np.bincount(pairs & (size - 1), share[pairs >> bits], minlength=size)
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, seen[some], by[1][some], by[0][some])], names=["bucket", "seen", "toxic", "clean"])
-
-    whole = [F.sum("seen").alias("seen"), *[F.round(F.sum(c)).cast("long").alias(c) for c in ("toxic", "clean")]]
-    rows = docs.mapInArrow(run, "bucket long, seen long, toxic double, clean double").groupBy("bucket").agg(*whole).toArrow()
-    out = np.zeros((3, 1 << bits), dtype=np.int64)
-    for row, c in enumerate(("seen", "toxic", "clean")):
-        out[row][rows["bucket"].to_numpy()] = rows[c].to_numpy()
-    return tuple(out)
-
-
-def _ratio(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+            n = np.zeros(len(known.features) + 1, dtype=np.int64)
+            for _, _, _, hashes in _features(batch.column("text")):
+                n[:-1] += np.bincount(known.among(hashes)[1], minlength=len(n) - 1)
+                n[-1] += hashes.size
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["place", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(features) + 1, dtype=np.int64)
+    out[rows["place"].to_numpy()] = rows["n"].to_numpy()
+    return out[:-1], int(out[-1])
+
+
+def _ratio(toxic: str, clean: str, n_toxic: int, n_clean: int) -> Column:
     """Likelihood ratio of the two counts against the share of toxic documents."""
-    both = toxic + clean
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return 2 * (np.where(toxic > 0, toxic * np.log(toxic / (both * share)), 0) + np.where(clean > 0, clean * np.log(clean / (both * (1 - share))), 0))
+    t, c, both = F.col(toxic), F.col(clean), F.col(toxic) + F.col(clean)
+    share = n_toxic / (n_toxic + n_clean)
+    parts = [F.when(n > 0, n * F.ln(n / (both * F.lit(p)))).otherwise(F.lit(0.0)) for n, p in ((t, share), (c, 1 - share)) if p]
+    return 2 * sum(parts[1:], parts[0])
 
 
-def _weights(seen: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, prior: float, least: float) -> np.ndarray:
-    """Log-odds of features that toxic documents hold significantly more often."""
-    alpha = prior * seen / max(1, seen.sum()) + 1e-2
+def _odds(seen: np.ndarray, total: int, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, prior: float) -> np.ndarray:
+    """Log-odds with the Dirichlet prior, 0 where they are low."""
+    alpha = prior * seen / max(1, total) + 1e-2
     odds = np.log((toxic + alpha) / (n_toxic + prior)) - np.log((clean + alpha) / (n_clean + prior))
-    share = n_toxic / max(1, n_toxic + n_clean)
-    return np.where((_ratio(toxic, clean, share) >= least) & (odds > 1) & (toxic > 0), np.minimum(odds, 8), 0).astype(np.float32)
+    return np.where(odds > 1, np.minimum(odds, 8), 0).astype(np.float32)
 
 
-def _contexts(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, bits: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """By wanted bucket: distinct pairs of the word before and the word after, in toxic and in clean labelled documents."""
-    shared = docs.sparkSession.sparkContext.broadcast((ids, toxic, wanted))
+def _lasting(labelled: DataFrame, features: np.ndarray, n_toxic: int, n_clean: int, least: float) -> np.ndarray:
+    """By feature: distinct pairs of the word before and the word after in toxic labelled texts, 0 if these are not significantly more than in clean ones."""
+    shared = labelled.sparkSession.sparkContext.broadcast(features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, toxic, wanted = shared.value
+        known = _Known(shared.value)
         for batch in batches:
-            own = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            if not len(ids):
-                continue
-            at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-            kind = np.where(ids[at] == own, toxic[at], -1)
+            kind = batch.column("toxic").to_numpy(zero_copy_only=False)
             found = [np.zeros((0, 3), dtype=np.int64)]
-            for i, _, text, buckets in _features(batch.column("text"), bits):
-                size = 1 << bits
-                before, after = np.full(len(text), size), np.full(len(text), size)
+            for i, _, text, hashes in _features(batch.column("text")):
+                before, after = np.zeros((2, len(text)), dtype=K.U)
                 same = text[1:] == text[:-1]
-                before[1:][same], after[:-1][same] = buckets[0, :-1][same], buckets[0, 1:][same]
-                of = kind[i + text]
-                row, word = np.nonzero(wanted[buckets] & (of >= 0))
-                found.append(np.unique(np.stack([buckets[row, word], before[word] << bits + 1 | after[word], of[word]], axis=1), axis=0))
+                before[1:][same], after[:-1][same] = hashes[0, :-1][same], hashes[0, 1:][same]
+                word, place = known.among(hashes)
+                pair = K.mix(K.mix(before[word]) + after[word]).view(np.int64)
+                found.append(np.unique(np.stack([place, pair, kind[i + text[word]]], axis=1), axis=0))
             rows = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, j]) for j in range(3)], names=["bucket", "context", "toxic"])
-
-    rows = docs.mapInArrow(run, "bucket long, context long, toxic long").distinct().groupBy("bucket", "toxic").agg(F.count("*").alias("n")).toArrow()
-    out = np.zeros((2, len(wanted)), dtype=np.int64)
-    out[rows["toxic"].to_numpy(), rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return out[1], out[0]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, j]) for j in range(3)], names=["place", "pair", "toxic"])
+
+    pairs = labelled.select("toxic", "text").mapInArrow(run, "place long, pair long, toxic long").distinct()
+    counts = pairs.groupBy("place").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    rows = counts.where(_ratio("toxic", "clean", n_toxic, n_clean) >= least).select("place", "toxic").toArrow()
+    out = np.zeros(len(features), dtype=np.int64)
+    out[rows["place"].to_numpy()] = rows["toxic"].to_numpy()
+    return out
+
+
+def _model(docs: DataFrame, frame: DataFrame, drift: float, prior: float, least: float, diverse: float) -> Model:
+    """Features that score and their weights; counts of labelled texts are of different texts."""
+    labelled = _labelled(docs, frame)
+    size = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}  # two rows
+    n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
+    none = Model(np.zeros(0, dtype=np.int64), np.zeros(0, np.float32), drift)
+    told = _telling(labelled, n_toxic, n_clean, least) if n_toxic else None
+    if told is None or not len(told):
+        discard(labelled)
+        return none
+    order = np.argsort(told["feature"].to_numpy().view(K.U))  # as the places of _Known
+    features, toxic, clean = (told[c].to_numpy()[order] for c in ("feature", "toxic", "clean"))
+    weights = _odds(*_seen(docs, features), toxic, clean, n_toxic, n_clean, prior)
+    pairs = _lasting(labelled, features, n_toxic, n_clean, least)
+    discard(labelled)
+    good = (weights > 0) & (pairs > 0) & (pairs >= diverse * toxic)
+    return Model(features[good], weights[good], drift)
 
 
 def maximal_segments(at: list[int], scores: list[float], drift: float) -> list[tuple[int, int, float]]:
@@ -194,20 +231,23 @@ def maximal_segments(at: list[int], scores: list[float], drift: float) -> list[t
     return [(int(a), int(b), y - x) for a, b, x, y in found]
 
 
-def _segments(docs: DataFrame, model: Model, bits: int) -> DataFrame:
+def _segments(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, t1, t2, n_words, segments and wording of each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.drift))
+    shared = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.drift))
     kind = docs.schema["doc_id"].dataType.simpleString()
     same = ("doc_id", "held_out", "t1", "t2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, drift = shared.value
+        features, weights, drift = shared.value
+        known = _Known(features)
         for batch in batches:
             n_words, wording = np.zeros((2, len(batch)), dtype=np.int64)
             segments: list[list] = [[] for _ in range(len(batch))]
-            for i, per, text, buckets in _features(batch.column("text"), bits):
-                n_words[i : i + len(per)], wording[i : i + len(per)] = per, _wordings(per, buckets, bits)
-                best = weights[buckets].max(axis=0) if len(text) else np.zeros(0, np.float32)
+            for i, per, text, hashes in _features(batch.column("text")):
+                n_words[i : i + len(per)], wording[i : i + len(per)] = per, _wordings(per, hashes)
+                best = np.zeros(len(text), np.float32)
+                word, place = known.among(hashes)
+                np.maximum.at(best, word, weights[place])
                 some = np.flatnonzero(best > 0)
                 first = np.cumsum(per) - per
                 of = text[some]
@@ -246,7 +286,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 200_000, bits: int = 19, drift: float = 0.05, prior: float = 50.0, least: float = 18.0, diverse: float = 0.4, significant: float = 0.05) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 200_000, drift: float = 0.05, prior: float = 50.0, least: float = 18.0, diverse: float = 0.4, significant: float = 0.05) -> DataFrame:
     """doc_id, held_out, score, predicted, n_words and segments of each row of docs.
 
     Labels are learned from at most `sample` rows (those of the least hash of their id) whose
@@ -255,10 +295,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 200_000, bits: in
     out. Labels that are null or of a null id take no part; of repeated ones the greatest counts.
     Without labels of both kinds every score is low. Other columns take no part.
     """
-    return _scored(docs, labels, sample, bits, drift, prior, least, diverse, significant).drop("t1", "t2")
+    return _scored(docs, labels, sample, drift, prior, least, diverse, significant).drop("t1", "t2")
 
 
-def _scored(docs: DataFrame, labels: DataFrame, sample: int = 200_000, bits: int = 19, drift: float = 0.05, prior: float = 50.0, least: float = 18.0, diverse: float = 0.4, significant: float = 0.05) -> DataFrame:
+def _scored(docs: DataFrame, labels: DataFrame, sample: int = 200_000, drift: float = 0.05, prior: float = 50.0, least: float = 18.0, diverse: float = 0.4, significant: float = 0.05) -> DataFrame:
     """toxicity() with the hashes of each row's text."""
     bounded_batches(docs.sparkSession)
     # texts only, with the id to find labels by
@@ -268,15 +308,8 @@ def _scored(docs: DataFrame, labels: DataFrame, sample: int = 200_000, bits: int
     ids, toxic = train["doc_id"].to_numpy(dtype=np.int64), (train["toxic"].to_numpy() > 0).astype(np.int64)
     numbered = texts.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
     frame = docs.sparkSession.createDataFrame(pd.DataFrame({"doc_id": ids, "toxic": toxic}), "doc_id long, toxic long")
-    own_texts = _labelled(numbered, frame, bits, sample)
-    seen, y1, y0 = _counts(numbered, ids, toxic, bits, own_texts)
-    n_toxic, n_clean = (int((own_texts["toxic"] == y).sum()) for y in (1, 0))
-    weights = _weights(seen, y1, y0, n_toxic, n_clean, prior, least)
-    fresh1, fresh0 = _contexts(numbered, ids, toxic, bits, weights > 0)
-    share = n_toxic / max(1, n_toxic + n_clean)
-    lasting = (_ratio(fresh1, fresh0, share) >= least) & (fresh1 >= diverse * y1) if share else np.zeros(len(weights), bool)
-    model = Model(np.where(lasting, weights, 0).astype(np.float32), drift)
-    scanned = durable(_segments(texts, model, bits))
+    model = _model(numbered, frame, drift, prior, least, diverse)
+    scanned = durable(_segments(texts, model))
     best = F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0)).alias("best")
     seen_train = scanned.join(F.broadcast(frame), "doc_id")
     # of at most `sample` rows, copies once, in one order, so that sums come out the same
