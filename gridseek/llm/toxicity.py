@@ -105,39 +105,46 @@ def _labelled(docs: DataFrame, frame: DataFrame) -> DataFrame:
     return durable(rows.groupBy("wording", "toxic").agg(F.first("text").alias("text")))
 
 
-def _telling(labelled: DataFrame, n_toxic: int, n_clean: int, least: float) -> pd.DataFrame:
-    """feature, toxic and clean (labelled texts with it) of features that toxic texts hold significantly more often."""
+def _telling(labelled: DataFrame, n_toxic: int, n_clean: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features that toxic texts hold significantly more often, sorted, and the numbers of toxic and of clean texts with each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind = batch.column("toxic").to_numpy(zero_copy_only=False)
-            for i, _, text, hashes in _features(batch.column("text")):
+            for _, _, text, hashes in _features(batch.column("text")):
                 of = np.broadcast_to(text, hashes.shape).ravel()
                 # each feature of a text once
                 _, once = np.unique(K.mix(hashes.ravel() ^ K.mix(of.astype(K.U))), return_index=True)
-                feature, at = np.unique(hashes.ravel()[once], return_inverse=True)
-                bad = np.bincount(at, kind[i + of[once]], minlength=len(feature)).astype(np.int64)
-                both = np.bincount(at, minlength=len(feature))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (feature.view(np.int64), bad, both - bad)], names=["feature", "toxic", "clean"])
-
-    counts = labelled.mapInArrow(run, "feature long, toxic long, clean long").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean")])
-    more = F.col("toxic") * n_clean > F.col("clean") * n_toxic
-    return counts.where(more & (_ratio("toxic", "clean", n_toxic, n_clean) >= least)).orderBy("feature").toPandas()
-
-
-def _seen(docs: DataFrame, features: np.ndarray) -> tuple[np.ndarray, int]:
-    """Occurrences of each feature, and of all features, in all documents."""
+                feature, n = np.unique(hashes.ravel()[once], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(feature.view(np.int64)), pa.array(n)], names=["feature", "toxic"])
+
+    # fewer toxic texts are not significant even if no clean text has the feature
+    fewest = least / (2 * math.log((n_toxic + n_clean) / n_toxic)) if n_clean else math.inf
+    held = labelled.where("toxic = 1").select("text").mapInArrow(each, "feature long, toxic long").groupBy("feature").agg(F.sum("toxic").alias("toxic"))
+    rows = held.where(F.col("toxic") >= fewest).toArrow()
+    features, toxic = rows["feature"].to_numpy(), rows["toxic"].to_numpy()
+    order = np.argsort(features.view(K.U))
+    features, toxic = features[order], toxic[order]
+    clean, _ = _occurrences(labelled.where("toxic = 0"), features, texts=True)
+    more = (toxic * n_clean > clean * n_toxic) & (_ratio(toxic, clean, n_toxic, n_clean) >= least)
+    return features[more], toxic[more], clean[more]
+
+
+def _occurrences(docs: DataFrame, features: np.ndarray, texts: bool = False) -> tuple[np.ndarray, int]:
+    """Occurrences of each of the sorted features, and of all features, in docs. texts: of each text once."""
     shared = docs.sparkSession.sparkContext.broadcast(features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(shared.value)
+        n = np.zeros(len(known.features) + 1, dtype=np.int64)
         for batch in batches:
-            n = np.zeros(len(known.features) + 1, dtype=np.int64)
-            for _, _, _, hashes in _features(batch.column("text")):
-                n[:-1] += np.bincount(known.among(hashes)[1], minlength=len(n) - 1)
+            for _, _, text, hashes in _features(batch.column("text")):
+                word, place = known.among(hashes)
+                if texts:
+                    place = np.unique(text[word].astype(np.int64) * len(n) + place) % len(n)
+                n[:-1] += np.bincount(place, minlength=len(n) - 1)
                 n[-1] += hashes.size
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["place", "n"])
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["place", "n"])
 
     rows = docs.select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(features) + 1, dtype=np.int64)
@@ -145,12 +152,11 @@ def _seen(docs: DataFrame, features: np.ndarray) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-def _ratio(toxic: str, clean: str, n_toxic: int, n_clean: int) -> Column:
+def _ratio(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
     """Likelihood ratio of the two counts against the share of toxic documents."""
-    t, c, both = F.col(toxic), F.col(clean), F.col(toxic) + F.col(clean)
-    share = n_toxic / (n_toxic + n_clean)
-    parts = [F.when(n > 0, n * F.ln(n / (both * F.lit(p)))).otherwise(F.lit(0.0)) for n, p in ((t, share), (c, 1 - share)) if p]
-    return 2 * sum(parts[1:], parts[0])
+    both, share = toxic + clean, n_toxic / (n_toxic + n_clean)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2 * (np.where(toxic > 0, toxic * np.log(toxic / (both * share)), 0) + np.where(clean > 0, clean * np.log(clean / (both * (1 - share))), 0))
 
 
 def _odds(seen: np.ndarray, total: int, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, prior: float) -> np.ndarray:
@@ -180,11 +186,11 @@ def _lasting(labelled: DataFrame, features: np.ndarray, n_toxic: int, n_clean: i
             yield pa.RecordBatch.from_arrays([pa.array(rows[:, j]) for j in range(3)], names=["place", "pair", "toxic"])
 
     pairs = labelled.select("toxic", "text").mapInArrow(run, "place long, pair long, toxic long").distinct()
-    counts = pairs.groupBy("place").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
-    rows = counts.where(_ratio("toxic", "clean", n_toxic, n_clean) >= least).select("place", "toxic").toArrow()
-    out = np.zeros(len(features), dtype=np.int64)
-    out[rows["place"].to_numpy()] = rows["toxic"].to_numpy()
-    return out
+    counts = pairs.groupBy("place").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")).toArrow()
+    out = np.zeros((2, len(features)), dtype=np.int64)
+    for row, c in enumerate(("toxic", "clean")):
+        out[row][counts["place"].to_numpy()] = counts[c].to_numpy()
+    return np.where(_ratio(out[0], out[1], n_toxic, n_clean) >= least, out[0], 0)
 
 
 def _model(docs: DataFrame, frame: DataFrame, drift: float, prior: float, least: float, diverse: float) -> Model:
@@ -192,17 +198,16 @@ def _model(docs: DataFrame, frame: DataFrame, drift: float, prior: float, least:
     labelled = _labelled(docs, frame)
     size = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}  # two rows
     n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
-    none = Model(np.zeros(0, dtype=np.int64), np.zeros(0, np.float32), drift)
-    told = _telling(labelled, n_toxic, n_clean, least) if n_toxic else None
-    if told is None or not len(told):
+    if not n_toxic:
         discard(labelled)
-        return none
-    order = np.argsort(told["feature"].to_numpy().view(K.U))  # as the places of _Known
-    features, toxic, clean = (told[c].to_numpy()[order] for c in ("feature", "toxic", "clean"))
-    weights = _odds(*_seen(docs, features), toxic, clean, n_toxic, n_clean, prior)
+        return Model(np.zeros(0, dtype=np.int64), np.zeros(0, np.float32), drift)
+    features, toxic, clean = _telling(labelled, n_toxic, n_clean, least)
+    weights = _odds(*_occurrences(docs, features), toxic, clean, n_toxic, n_clean, prior)
+    some = weights > 0
+    features, weights, toxic = features[some], weights[some], toxic[some]
     pairs = _lasting(labelled, features, n_toxic, n_clean, least)
     discard(labelled)
-    good = (weights > 0) & (pairs > 0) & (pairs >= diverse * toxic)
+    good = (pairs > 0) & (pairs >= diverse * toxic)
     return Model(features[good], weights[good], drift)
 
 
