@@ -416,6 +416,36 @@ def test_toxic_copies_do_not_hide_the_words_they_share(spark):
     assert toxicity.without_toxic(frame, frame.drop("text")).count() == 500
 
 
+def test_telling_features_against_plain_counts(spark):
+    """Words and their beginnings, counted as texts in plain sets; copies count once."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(300)]
+    texts = [(int(i % 5 == 0), rng.choices(vocabulary, k=rng.randint(1, 40)) + rng.choices(vocabulary[:6], k=3 * (i % 5 == 0))) for i in range(400)]
+    texts += [texts[0]] * 30
+    rows = [(i, " ".join(words), y) for i, (y, words) in enumerate(texts)]
+    frame = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic long")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(4)
+    labelled = toxicity._labelled(docs, frame)
+    held, occurrences = {0: collections.Counter(), 1: collections.Counter()}, collections.Counter()
+    different = {(y, tuple(words)) for y, words in texts}
+    for y, words in different:
+        held[y].update({(n, w[:n] if n else w) for w in words for n in (0, *toxicity.BEGINNINGS)})
+    for _, words in texts:
+        occurrences.update((n, w[:n] if n else w) for w in words for n in (0, *toxicity.BEGINNINGS))
+    n1 = sum(y for y, _ in different)
+    n0, want = len(different) - n1, []
+    for f, t in held[1].items():
+        c = held[0][f]
+        share = n1 / (n1 + n0)
+        ratio = 2 * (t * math.log(t / ((t + c) * share)) + (c * math.log(c / ((t + c) * (1 - share))) if c else 0))
+        if ratio >= 10 and t * n0 > c * n1:
+            want.append((t, c, occurrences[f]))
+    features, toxic, clean = toxicity._telling(labelled, n1, n0, 10.0)
+    seen, total = toxicity._occurrences(docs, features)
+    assert len(want) > 5 and labelled.count() == len(different)
+    assert sorted(zip(toxic.tolist(), clean.tolist(), seen.tolist())) == sorted(want) and total == sum(occurrences.values())
+
+
 def test_maximal_segments():
     """The definition: of all contiguous runs the best one, then the same to its left and its right."""
 
