@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridseek.operators.keys import keys_of
 from gridseek.plans.lineage import settled
+from gridseek.plans.sizes import small_side
 
 
 def _cell_keys(cells: DataFrame) -> list[str]:
@@ -55,7 +56,7 @@ def leaves(profile: DataFrame, capacity: int = 10, axis: str = "x") -> DataFrame
         stats = open_.groupBy("node").agg(*bounds, F.count("*").alias("n"))
         # a node without a sibling is its parent, which then is a leaf; two rows a partition at most
         siblings = F.count("*").over(Window.partitionBy(F.shiftright("node", 1)))
-        known = settled(stats.withColumn("alone", (siblings < 2) & (F.col("node") > 1)))
+        known = small_side(stats.withColumn("alone", (siblings < 2) & (F.col("node") > 1)))  # a row for each open node
         right = F.col("pivot_x") >= (F.col("all_min_cx") + F.col("all_max_cx")) / 2.0
         if axis == "widest":
             wide = (F.col("all_max_cx") - F.col("all_min_cx")) >= (F.col("all_max_cy") - F.col("all_min_cy"))
