@@ -295,7 +295,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 200_000, drift: f
     """doc_id, held_out, score, predicted, n_words and segments of each row of docs.
 
     Labels are learned from at most `sample` rows (those of the least hash of their id) whose
-    documents are not held out, copies once; counts for the prior and scores are of all documents. Null and empty
+    documents are not held out, with all texts that have such an id, copies once; counts for the prior and scores are of all documents. Null and empty
     texts have no words, no segments and the lowest score. Rows of a null id are scored and not held
     out. Labels that are null or of a null id take no part; of repeated ones the greatest counts.
     Without labels of both kinds every score is low. Other columns take no part.
