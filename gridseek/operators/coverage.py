@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from gridseek.functions.grid import ball_gap, boxes_meet
 from gridseek.operators.connect import connected, reach
-from gridseek.operators.graph import overlap_graph
 from gridseek.operators.index import leaves, tree_nodes
 from gridseek.operators.keys import without
+from gridseek.operators.overlap import overlaps
 from gridseek.operators.profile import box_candidates, boxes, prefixed, profiles, with_ball
 from gridseek.plans.lineage import cut, settled
 from gridseek.plans.sizes import small_side
@@ -82,18 +82,25 @@ def greedy(cells: DataFrame, query: DataFrame, k: int, delta: float, group: str
 
 
 def greedy_by_graph(cells: DataFrame, query: DataFrame, k: int, delta: float, exclude: object = None, edges: DataFrame | None = None) -> list[tuple]:
-    """Picks along the overlap graph: the gain of a dataset is its size less its overlap with one chosen neighbour."""
+    """Picks along the overlap graph: the gain of a dataset is its size less its overlap with one chosen neighbour.
+
+    A round needs the edges of one dataset only. Where no graph is given they are counted from its cells; the whole graph isn't made.
+    """
     mine = cut(_grouped(without(cells, exclude), None).drop(GROUP))
     own = settled(query.select("cx", "cy").distinct())
     sizes = settled(mine.groupBy("dataset_id").agg(F.count("*").alias("size")))
     shared = mine.join(small_side(own), ["cx", "cy"]).groupBy("dataset_id").agg(F.count("*").alias("w"))
     open_ = settled(connected(mine, own, delta, keys=("dataset_id",)).join(shared, "dataset_id", "left").select("dataset_id", F.coalesce("w", F.lit(0)).alias("w")))
-    graph = cut(edges if edges is not None else overlap_graph(mine))
+    graph = cut(edges) if edges is not None else None
     total, picks = own.count(), []
     for step in range(1, k + 1):
         if picks:
             chosen = [p[2] for p in picks]
-            steps = graph.where(F.col("src") == chosen[-1]).select(F.col("dst").alias("dataset_id"), "w")
+            last = F.lit(chosen[-1])
+            if graph is not None:
+                steps = graph.where(F.col("src") == last).select(F.col("dst").alias("dataset_id"), "w")
+            else:
+                steps = overlaps(mine, mine.where(F.col("dataset_id") == last)).select("dataset_id", F.col("overlap").alias("w"))
             open_ = settled(open_.unionByName(steps).where(~F.col("dataset_id").isin(chosen)))
         gains = open_.groupBy("dataset_id").agg(F.min("w").alias("w")).join(sizes, "dataset_id").select("dataset_id", (F.col("size") - F.col("w")).alias("gain"))
         best = gains.where("gain > 0").orderBy(F.desc("gain"), "dataset_id").limit(1).collect()
@@ -122,7 +129,7 @@ def top_k_coverage(cells: DataFrame, query: DataFrame, k: int = 10, delta: float
 
     sg, gasm and bounds give the same rows: the greatest gain among the datasets that are connected to
     what is covered, ties to the smaller id. gasm prunes by boxes and balls, bounds by bounds of the gain as
-    well. gadm picks along the overlap graph, given as edges or else made, and has a result of its own. Ids are of one source; several
+    well. gadm picks along the overlap graph, given as edges or else counted for each pick, and has a result of its own. Ids are of one source; several
     sources are searched by federation.
     """
     if strategy not in COVERAGE:

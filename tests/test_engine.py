@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridseek import STRATEGIES, Grid, catalogue, cells_of, connected, overlap_graph, profiles, read_csv_points, top_k_coverage, top_k_overlap
-from gridseek.operators import federation, graph, index, overlap, profile, updates
+from gridseek.operators import coverage, federation, graph, index, overlap, profile, updates
 from gridseek.operators.connect import is_connected
 from gridseek.sources.points import Layout, layout_of, load_or_make_cells, read_cells, valid_points, write_cells
 
@@ -415,3 +415,21 @@ def test_known_answers(spark, sf_dir):
     edges = overlap_graph(cells)
     assert edges.count() == 14 and edges.agg(F.sum("w")).first()[0] == 416
     cells.unpersist()
+
+
+@pytest.mark.parametrize("delta", [0])
+def test_gadm_counts_edges_of_picks_only(spark, monkeypatch, delta):
+    """The whole graph isn't made, nor written, for the picks, which are those along a given graph."""
+    sets = random_sets(11, n=30, side=20)
+    cells = cells_frame(spark, sets)
+    query, given = cells.where("dataset_id = 1"), overlap_graph(cells.where("dataset_id != 1"))
+    want = greedy_graph(sets, 1, 4, delta)
+    picks = lambda **more: [tuple(r) for r in top_k_coverage(cells, query, 4, delta, "gadm", exclude=1, **more).orderBy("step").collect()]
+    assert len(want) == 4 and picks(edges=given) == want
+
+    def whole(*_):
+        raise AssertionError("the whole graph was made")
+
+    monkeypatch.setattr(coverage, "overlap_graph", whole, raising=False)
+    monkeypatch.setattr(graph, "overlap_graph", whole)
+    assert picks() == want
