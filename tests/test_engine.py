@@ -417,7 +417,7 @@ def test_known_answers(spark, sf_dir):
     cells.unpersist()
 
 
-@pytest.mark.parametrize("delta", [0])
+@pytest.mark.parametrize("delta", [0, 3])
 def test_gadm_counts_edges_of_picks_only(spark, monkeypatch, delta):
     """The whole graph isn't made, nor written, for the picks, which are those along a given graph."""
     sets = random_sets(11, n=30, side=20)
