@@ -5,31 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridseek.operators.keys import keys_of
 from gridseek.operators.overlap import CROWD
+from gridseek.operators.pairs import neighbours
 from gridseek.sources.points import stored_or_made
 
 
+def _edges(found: DataFrame, *more: str) -> DataFrame:
+    """neighbours as src, dst, w, with sources also src_source and dst_source."""
+    names = [(c, end) for c, end in (("source_id", "_source"), ("dataset_id", "")) if c in found.columns]
+    return found.select(*[F.col(f"of_{c}").alias(f"src{end}") for c, end in names], *[F.col(c).alias(f"dst{end}") for c, end in names], "w", *more)
+
+
 def overlap_graph(cells: DataFrame) -> DataFrame:
     """edges(src, dst, w), with sources also src_source and dst_source: both directions of each two datasets that share w > 0 cells.
 
-    Cells of a single dataset go before the join. Pairs are counted once, in one direction, partly
-    before the shuffle; the other direction is added to the sums. A cell of many datasets is dealt out to several tasks.
+    Pairs are counted block by block and never shuffled: all edges of a src come from one task.
     """
-    keys = keys_of(cells)
-    names = {"dataset_id": "", "source_id": "_source"}
-    own = cells.select(*keys, "cx", "cy").distinct()
-    crowds = own.groupBy("cx", "cy").agg(F.count("*").alias("n")).where("n > 1").select("cx", "cy", F.ceil(F.col("n") / F.lit(float(CROWD))).cast("int").alias("parts"))
-    shared = own.join(crowds, ["cx", "cy"])
-    ends = {side: [F.col(c).alias(side + names[c]) for c in keys] for side in ("src", "dst")}
-    one = shared.select("cx", "cy", F.pmod(F.xxhash64(*keys), F.col("parts")).cast("int").alias("part"), *ends["src"])
-    other = shared.select("cx", "cy", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *ends["dst"])
-    pairs = one.join(other, ["cx", "cy", "part"])
-    src, dst = ([side + names[c] for c in keys] for side in ("src", "dst"))
-    half = pairs.where(F.struct(*src) < F.struct(*dst)).groupBy(*src, *dst).agg(F.count("*").alias("w"))
-    turned = F.struct(*[F.col(a).alias(b) for a, b in zip((*src, *dst), (*dst, *src))])
-    both = half.select(F.explode(F.array(F.struct(*src, *dst), F.struct(*[turned[c].alias(c) for c in (*src, *dst)]))).alias("e"), "w")
-    return both.select(*[F.col(f"e.{c}").alias(c) for c in (*src, *dst)], "w")
+    return _edges(neighbours(cells, size=CROWD))
 
 
 def load_or_make_graph(spark: SparkSession, path: str, cells: DataFrame) -> DataFrame:

@@ -3,11 +3,13 @@
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gridseek import STRATEGIES, Grid, catalogue, cells_of, connected, overlap_graph, profiles, read_csv_points, top_k_coverage, top_k_overlap
-from gridseek.operators import coverage, federation, graph, index, overlap, profile, updates
+from gridseek.operators import coverage, federation, graph, index, overlap, pairs, profile, updates
 from gridseek.operators.connect import is_connected
 from gridseek.sources.points import Layout, layout_of, load_or_make_cells, read_cells, valid_points, write_cells
 
@@ -433,3 +435,38 @@ def test_gadm_counts_edges_of_picks_only(spark, monkeypatch, delta):
     monkeypatch.setattr(coverage, "overlap_graph", whole, raising=False)
     monkeypatch.setattr(graph, "overlap_graph", whole)
     assert picks() == want
+
+
+@pytest.mark.parametrize("sparse", [0, 8, 1 << 40])
+@pytest.mark.parametrize("size", [5, 64])
+def test_pairs_of_blocks(monkeypatch, size, sparse):
+    """Lists of two blocks, short and long, by products and one by one, a few at a time."""
+    monkeypatch.setattr(pairs, "SPARSE", sparse)
+    monkeypatch.setattr(pairs, "TILE", 7)
+    monkeypatch.setattr(pairs, "EXPANDED", 50)
+    rng, has = np.random.default_rng(size), []
+    for block in (0, 1):
+        has.append(rng.random((40, size)) < rng.random(40)[:, None] ** 3)
+    has[0][:, 0] = True  # cells that the other block has, too
+    lists = []
+    for block, a in enumerate(has):
+        cell, place = (np.concatenate((x, x[:9])) for x in np.nonzero(a))  # some rows twice
+        batch = pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(cell), block)), "cell": pa.array(cell * (1 << 32) - 5), "place": pa.array(place, pa.int16())})
+        rows = pa.Table.from_batches(list(pairs._encoded(size)([batch.slice(0, 11), batch.slice(11)])))
+        assert rows.column("cell").value_counts().field("counts").to_pylist() == [1] * len(rows)
+        lists.append(pairs._Lists(rows.column("cell").combine_chunks(), rows.column("list").combine_chunks(), size))
+    first = 2
+    out = np.zeros((size - first, size), np.int32)
+    pairs._count(out, *lists, first)
+    assert (out == (has[0].T.astype(int) @ has[1].astype(int))[first:]).all()
+
+
+def test_graph_has_no_row_for_each_pair_of_a_cell(spark):
+    """Pairs are counted where the lists are; what is counted isn't shuffled."""
+    rng = random.Random(7)
+    sets = {i: {(i % 3 * 4 + rng.randrange(6), rng.randrange(6)) for _ in range(rng.randint(1, 20))} for i in range(150)}
+    edges = pairs.neighbours(cells_frame(spark, sets), size=16)
+    want = {(a, b): len(sets[a] & sets[b]) for a, b in itertools.permutations(sets, 2) if sets[a] & sets[b]}
+    assert {(r.of_dataset_id, r.dataset_id): r.w for r in edges.collect()} == want
+    above = overlap_graph(cells_frame(spark, sets))._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert "Exchange" not in above and "Aggregate" not in above
