@@ -36,6 +36,11 @@ def sorted_graph(edges: DataFrame) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
+def ranked_graph(cells: DataFrame) -> DataFrame:
+    """sorted_graph of the cells' overlap graph; a task has all edges of its datasets and ranks them."""
+    return _edges(neighbours(cells, size=CROWD, order="weight"), "rank")
+
+
 def graph_json(edges: DataFrame) -> DataFrame:
     """One JSON object {dst: w} for each src, as a file of such a graph has it."""
     pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("dst").cast("string").alias("key"), F.col("w").alias("value")))))

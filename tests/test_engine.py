@@ -470,3 +470,22 @@ def test_graph_has_no_row_for_each_pair_of_a_cell(spark):
     assert {(r.of_dataset_id, r.dataset_id): r.w for r in edges.collect()} == want
     above = overlap_graph(cells_frame(spark, sets))._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
     assert "Exchange" not in above and "Aggregate" not in above
+
+
+def test_ranked_graph_needs_no_shuffle_of_edges(spark):
+    rng = random.Random(8)
+    sets = {i: {(i % 3 * 4 + rng.randrange(6), rng.randrange(6)) for _ in range(rng.randint(1, 20))} for i in range(60)}
+    cells = cells_frame(spark, sets)
+    want = {tuple(r) for r in graph.sorted_graph(overlap_graph(cells)).collect()}
+    ranked = graph.ranked_graph(cells)
+    assert {tuple(r) for r in ranked.collect()} == want and len(want) > 1000
+    assert ranked.columns == ["src", "dst", "w", "rank"]
+    twos = {(f"S{i % 2}", str(i // 2)): s for i, s in sets.items()}
+    cells = two_frame(spark, twos)
+    assert {tuple(r) for r in graph.ranked_graph(cells).collect()} == {tuple(r) for r in graph.sorted_graph(overlap_graph(cells)).collect()}
+
+
+def test_sorted_graph_query_ranks_where_it_counts(spark, sf_dir):
+    plan = catalogue.QUERIES["overlap_graph_sorted"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("MapInArrow")[0]
+    assert "Exchange" not in above and "Window" not in above
