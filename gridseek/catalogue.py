@@ -16,7 +16,7 @@ from gridseek.functions.grid import Grid, box_contains, boxes_meet, common_area
 from gridseek.operators import federation, index, overlap, updates
 from gridseek.operators.connect import connected
 from gridseek.operators.coverage import coverage_candidates, top_k_coverage
-from gridseek.operators.graph import graph_from_json, graph_json, load_or_make_graph, overlap_graph, ranked_graph
+from gridseek.operators.graph import cells_json, graph_from_json, load_or_make_graph, overlap_graph, ranked_graph
 from gridseek.operators.profile import ball_candidates, box_candidates, corners, profiles, source_profiles
 from gridseek.plans.lineage import cut, shared_folder
 from gridseek.sources.points import cells_of, load_or_make_cells, valid_points
@@ -226,7 +226,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "overlap_batch": _on_cells(lambda c: overlap.overlap_batch(s := c.drop("source_id"), s, 3), keep=True),
     "overlap_graph": _on_cells(lambda c: overlap_graph(c.drop("source_id")), keep=True),
     "overlap_graph_sorted": _on_cells(lambda c: ranked_graph(c.drop("source_id")), keep=True),
-    "overlap_graph_json": _on_cells(lambda c: graph_from_json(graph_json(overlap_graph(c.drop("source_id")))).select("src", F.col("dst").cast("long").alias("dst"), "w"), keep=True),
+    "overlap_graph_json": _on_cells(lambda c: graph_from_json(cells_json(c.drop("source_id"))).select("src", F.col("dst").cast("long").alias("dst"), "w"), keep=True),
     "connected_d0": _on_cells(lambda c: connected(c.where("dataset_id != 1"), _one(c), 0, keys=("dataset_id",))),
     "connected_d3": _on_cells(lambda c: connected(c.where("dataset_id != 1"), _one(c), 3, keys=("dataset_id",))),
     **{f"coverage_{s}": _on_cells(_covered(s)) for s in ("sg", "gasm", "bounds", "gadm")},

@@ -47,6 +47,13 @@ def graph_json(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.to_json(pairs).alias("neighbours"))
 
 
+def cells_json(cells: DataFrame) -> DataFrame:
+    """graph_json of the cells' overlap graph, for cells of one source; a task has all edges of its datasets, which are neither shuffled nor sorted again."""
+    found = neighbours(cells.drop("source_id"), size=CROWD, order="text", nested=True)
+    pairs = F.map_from_entries(F.transform("near", lambda e: F.struct(e["dataset_id"].cast("string").alias("key"), e["w"].alias("value"))))
+    return found.select(F.col("of_dataset_id").alias("src"), F.to_json(pairs).alias("neighbours"))
+
+
 def graph_from_json(rows: DataFrame) -> DataFrame:
     parsed = F.from_json("neighbours", "map<string,bigint>")
     return rows.select("src", F.explode(parsed).alias("dst", "w"))

@@ -489,3 +489,13 @@ def test_sorted_graph_query_ranks_where_it_counts(spark, sf_dir):
     plan = catalogue.QUERIES["overlap_graph_sorted"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     above = plan.split("MapInArrow")[0]
     assert "Exchange" not in above and "Window" not in above
+
+
+def test_json_of_cells_needs_no_shuffle_of_edges(spark, sf_dir):
+    rng = random.Random(9)
+    sets = {i: {(i % 3 * 4 + rng.randrange(6), rng.randrange(6)) for _ in range(rng.randint(1, 20))} for i in range(60)}
+    cells = cells_frame(spark, sets)
+    want = {tuple(r) for r in graph.graph_json(overlap_graph(cells)).collect()}
+    assert {tuple(r) for r in graph.cells_json(cells).collect()} == want and len(want) == 60
+    above = catalogue.QUERIES["overlap_graph_json"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert "Exchange" not in above and "Aggregate" not in above
