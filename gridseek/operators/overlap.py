@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gridseek.functions.grid import boxes_meet, common_box
 from gridseek.operators.index import leaves, positional_lists, tree_nodes
 from gridseek.operators.keys import keys_of, without
+from gridseek.operators.pairs import neighbours
 from gridseek.operators.profile import box_candidates, profiles, query_box
 from gridseek.plans.lineage import settled
 from gridseek.plans.sizes import small_side
@@ -165,27 +166,12 @@ def overlap_batch(cells: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame
     """query_id, rank, dataset_id and overlap (with sources: query_source and source_id): the best k datasets of each of many queries, themselves left out."""
     keys = keys_of(cells, queries)
     names = {"dataset_id": "query_id", "source_id": "query_source"}
-    asked = [names[c] for c in keys]
-    own = queries.select(*[F.col(c).alias(names[c]) for c in keys], "cx", "cy").distinct()
-    same = F.lit(True)
-    for c in keys:
-        same &= F.col(c) == F.col(names[c])
-    shared = salted(cells.select(*keys, "cx", "cy").distinct(), own)
-    counts = shared.where(~same).groupBy(*asked, *keys).agg(F.count("*").alias("overlap"))
-    best = Window.partitionBy(*asked).orderBy(F.desc("overlap"), *reversed(keys))
-    return counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(*asked, F.col("rank").cast("long").alias("rank"), *keys, "overlap")
-
-
-#: Datasets of one cell that a task meets with all others of it.
-CROWD = 1000
-
-
-def salted(one: DataFrame, other: DataFrame) -> DataFrame:
-    """The join of both on (cx, cy), less cells that one side lacks; a cell of many datasets is dealt out in parts of CROWD of its rows of one."""
-    crowds = one.groupBy("cx", "cy").agg(F.ceil(F.count("*") / F.lit(float(CROWD))).cast("int").alias("parts"))
-    parted = other.join(crowds, ["cx", "cy"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    dealt = one.join(crowds, ["cx", "cy"]).withColumn("part", F.pmod(F.xxhash64(*keys_of(one)), F.col("parts")).cast("int")).drop("parts")
-    return dealt.join(parted, ["cx", "cy", "part"]).drop("part")
+    found = neighbours(cells.select(*keys, "cx", "cy"), None if queries is cells else queries, CROWD, "best", k)
+    return found.select(*[F.col(f"of_{c}").alias(names[c]) for c in keys], "rank", *keys, F.col("w").alias("overlap"))
+
+
+#: Most datasets of a block, which a task meets with other blocks.
+CROWD = 2048
 
 
 def positional_overlaps(cells: DataFrame, query: DataFrame) -> DataFrame:

@@ -499,3 +499,18 @@ def test_json_of_cells_needs_no_shuffle_of_edges(spark, sf_dir):
     assert {tuple(r) for r in graph.cells_json(cells).collect()} == want and len(want) == 60
     above = catalogue.QUERIES["overlap_graph_json"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
     assert "Exchange" not in above and "Aggregate" not in above
+
+
+def test_batch_ranks_where_it_counts(spark):
+    """Other queries than the cells, some of which they lack; ties; no row for each pair of a cell is shuffled."""
+    rng = random.Random(10)
+    sets = {i: {(i % 3 * 4 + rng.randrange(6), rng.randrange(6)) for _ in range(rng.randint(1, 20))} for i in range(60)}
+    asked = {i: {(x + i % 2, y) for x, y in s} for i, s in sets.items() if i % 4 == 0} | {100: {(50, 50)}, 101: sets[3]}
+    batch = overlap.overlap_batch(cells_frame(spark, sets), cells_frame(spark, asked), 3)
+    want = set()
+    for q, s in asked.items():
+        best = sorted((-len(s & t), i) for i, t in sets.items() if i != q and s & t)[:3]
+        want |= {(q, n, i, -w) for n, (w, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in batch.collect()} == want and len(want) > 40
+    above = batch._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert "Exchange" not in above and "Window" not in above
