@@ -25,8 +25,25 @@ def overlap_graph(cells: DataFrame) -> DataFrame:
 
 
 def load_or_make_graph(spark: SparkSession, path: str, cells: DataFrame) -> DataFrame:
-    """The graph that is stored at path; where there is none it is made of the cells and stored."""
-    return stored_or_made(spark, path, lambda: overlap_graph(cells))
+    """The graph that is stored at path; where there is none it is made of the cells and stored.
+
+    Each two datasets are stored once, as low, high (in the order of ids) and w, sorted so that files hold small differences, and
+    turned when they are read. Edges (src, dst, w) that were stored in both directions are read as they are.
+    """
+    stored = stored_or_made(spark, path, lambda: _halves(cells), {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#high": "false"})
+    ends = [c for c in stored.columns if c.startswith(("low", "high"))]
+    if not ends:
+        return stored
+    src, dst = ([c for c in ends if c.startswith(side)] for side in ("low", "high"))
+    names = [c.replace("low", "src") for c in src] + [c.replace("low", "dst") for c in src]
+    way = lambda order: F.struct(*[F.col(c).alias(n) for c, n in zip(order, names)])
+    both = stored.select(F.explode(F.array(way([*src, *dst]), way([*dst, *src]))).alias("e"), "w")
+    return both.select(*[F.col(f"e.{n}").alias(n) for n in names], "w")
+
+
+def _halves(cells: DataFrame) -> DataFrame:
+    half = _edges(neighbours(cells, size=CROWD, later=True))
+    return half.withColumnsRenamed({c: c.replace("src", "low").replace("dst", "high") for c in half.columns})
 
 
 def sorted_graph(edges: DataFrame) -> DataFrame:

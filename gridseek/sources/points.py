@@ -95,12 +95,12 @@ def read_cells(spark: SparkSession, path: str, theta: int) -> DataFrame:
     return cells.select(F.col("source_id").cast("string").alias("source_id"), "dataset_id", "cx", "cy", "cell_id", "density")
 
 
-def stored_or_made(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table at path; where there is none, make() is written there first."""
+def stored_or_made(spark: SparkSession, path: str, make: Callable[[], DataFrame], options: dict[str, str] | None = None) -> DataFrame:
+    """The table at path; where there is none, make() is written there first, with the options of the writer."""
     try:
         return spark.read.parquet(path)
     except AnalysisException:
-        make().write.parquet(path)
+        make().write.options(**(options or {})).parquet(path)
         return spark.read.parquet(path)
 
 

@@ -514,3 +514,17 @@ def test_batch_ranks_where_it_counts(spark):
     assert {tuple(r) for r in batch.collect()} == want and len(want) > 40
     above = batch._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
     assert "Exchange" not in above and "Window" not in above
+
+
+def test_stored_graph_holds_each_pair_once(spark, tmp_path):
+    """By sources and text ids too; a graph that was stored in both directions is read as it is."""
+    sets = random_sets(12, n=30)
+    for name, cells in (("one", cells_frame(spark, sets)), ("two", two_frame(spark, {(f"S{i % 2}", str(i // 2)): s for i, s in sets.items()}))):
+        want = sorted(tuple(r) for r in overlap_graph(cells).collect())
+        for _ in range(2):
+            got = graph.load_or_make_graph(spark, str(tmp_path / name), cells)
+            assert got.columns == overlap_graph(cells).columns
+            assert sorted(tuple(r) for r in got.collect()) == want
+        assert 2 * spark.read.parquet(str(tmp_path / name)).count() == len(want) > 100
+        overlap_graph(cells).write.parquet(str(tmp_path / f"{name}-old"))
+        assert sorted(tuple(r) for r in graph.load_or_make_graph(spark, str(tmp_path / f"{name}-old"), cells).collect()) == want
