@@ -23,9 +23,9 @@ from gridseek.plans.sizes import small_side
 #: Most cells of a block's datasets together, unless it is of one dataset.
 MOST_CELLS = 1 << 21
 #: Most counters that a task holds at once.
-COUNTERS = 1 << 24
+COUNTERS = 1 << 23
 #: Cells of one product; pairs that are counted one by one at once; rows of a batch that goes out.
-TILE, EXPANDED, BATCH = 2048, 1 << 20, 1 << 16
+TILE, EXPANDED, BATCH = 1024, 1 << 20, 1 << 16
 #: A cell goes into the product if its pairs are at least one in so many of all pairs of both blocks.
 SPARSE = 512
 
