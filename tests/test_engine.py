@@ -437,6 +437,33 @@ def test_gadm_counts_edges_of_picks_only(spark, monkeypatch, delta):
     assert picks() == want
 
 
+def rows_written(spark, use):
+    """What use() gives, and how many rows its stages wrote for shuffles and into tables."""
+    context = spark.sparkContext._jsc.sc()
+    store = context.statusStore()
+
+    def stages():
+        context.listenerBus().waitUntilEmpty()
+        found = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
+        every = [found.apply(i) for i in range(found.size())]
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() + x.outputRecords() for x in every}
+
+    before = stages()
+    out = use()
+    return out, sum(n for key, n in stages().items() if key not in before)
+
+
+@pytest.mark.parametrize("delta", [0, 3])
+def test_gadm_writes_fewer_rows_than_pairs(spark, delta):
+    """Datasets on one spot share cells two by two; disk follows their cells, not their pairs."""
+    sets = random_sets(5, n=600, side=3)
+    cells = cells_frame(spark, sets).coalesce(2)
+    linked = sum(1 for a, b in itertools.combinations(sets.values(), 2) if a & b)
+    got, rows = rows_written(spark, lambda: [tuple(r) for r in top_k_coverage(cells, cells.where("dataset_id = 1"), 3, delta, "gadm", exclude=1).orderBy("step").collect()])
+    assert got == greedy_graph(sets, 1, 3, delta) and len(got) == 3
+    assert sum(map(len, sets.values())) <= rows < linked / 2
+
+
 @pytest.mark.parametrize("sparse", [0, 8, 1 << 40])
 @pytest.mark.parametrize("size", [5, 64])
 def test_pairs_of_blocks(monkeypatch, size, sparse):
