@@ -3,16 +3,19 @@
 BPE has two properties that the program rests on. The pieces of a text up to any piece end are the
 pieces of that prefix; and a sequence of pieces is a text's encoding exactly if each two neighbours,
 joined and encoded, come back as these two. So for each prefix one piece alone can be the last, and
-count(prefix) = count(prefix without that piece) + 1. A text never merges over the edge between
-another character and the blank mark, because no piece holds the mark after another character; what
-lies between such edges is handled once and remembered.
+count(prefix) = count(prefix without that piece) + 1. The pieces that end a prefix are those that end
+the longest ending with which a piece begins; this ending follows from the one before and the next
+character. A text never merges over an edge between two characters that stand side by side in no
+piece, such as another character and the blank mark, or a letter and a stop; what lies between edges
+at which kinds of characters change is handled once and remembered.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
-from os.path import commonprefix
+from collections.abc import Iterable, Iterator
+from typing import TypeAlias
 
 import pandas as pd
 import pyarrow as pa
@@ -22,11 +25,15 @@ from pyspark.sql import functions as F
 from gridseek.llm.common import bounded_batches
 
 MARK = "▁"
-SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
-#: Segments and pairs that a worker remembers, and the longest segment that it remembers.
-REMEMBERED, PAIRS, LONGEST = 800_000, 1_000_000, 64
+#: Segments, pairs and steps from ending to ending that a worker remembers, and the longest segment that it remembers.
+REMEMBERED, PAIRS, STEPS, LONGEST = 800_000, 1_000_000, 500_000, 64
 #: Characters of text that count_all gets at once.
 GROUP = 1 << 20
+#: The score of two parts that make no piece.
+NEVER = -math.inf
+
+Merging: TypeAlias = list[tuple[float, str, str]]
+Ending: TypeAlias = "tuple[dict[str, Ending], list[tuple[int, int, dict[int, bool]]], str]"
 
 
 def default_model() -> str:
@@ -35,6 +42,18 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _edges(pieces: Iterable[str]) -> str:
+    """A pattern of segments: blank marks and then characters of one kind, or one of no kind. Characters that stand side by side in a piece are of one kind."""
+    kinds: dict[str, set[str]] = {}
+    for piece in pieces:
+        own = piece.lstrip(MARK)
+        if len(own) > 1:
+            kind = set().union(own, *(kinds.get(c, ()) for c in own))
+            kinds.update(dict.fromkeys(kind, kind))
+    apart = {id(k): "".join(map(re.escape, sorted(k))) for k in kinds.values()}
+    return f"{MARK}*+(?:{''.join(f'[{k}]+|' for k in apart.values())}[^{MARK}])|{MARK}+"
+
+
 class PrefixCounter:
     """Token counts of prefixes as the sentencepiece library gives them for a BPE model with byte fallback."""
 
@@ -52,63 +71,109 @@ class PrefixCounter:
         self.score = {p.piece: p.score for p in model.pieces if p.type == 1}
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("a piece holds a blank after another character")
-        self.most = max(map(len, self.score))
-        self.pieces = ["", *(p for p in self.score if self._encode(p) == [p])]
+        self.split = re.compile(_edges(self.score)).findall
+        self.pieces = ["", *(p for p in self.score if self._merging(p)[-1][1] == p)]
         self.ids = {p: i for i, p in enumerate(self.pieces) if i}
-        self.pairs: dict[int, bool] = {}
+        self.begins = {p[:i] for p in self.pieces for i in range(len(p) + 1)}
+        self.endings: dict[str, Ending] = {}
+        self.merging: dict[int, Merging] = {}
+        self.pairs: dict[int, dict[int, bool]] = {}
+        self.start = self._ending("")
+        self.n_pairs = self.n_steps = 0
         self.known: dict[str, int] = {}
 
-    def _encode(self, text: str) -> list[str]:
-        """Plain merging: the pair of the best score first, the leftmost of equal ones."""
-        parts, score = list(text), self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                break
+    def _merging(self, text: str) -> Merging:
+        """Plain merging: the pair of the best score first, the leftmost of equal ones. Before each merge and after the last: its score, the first part, the last part."""
+        parts, score = list(text), self.score.get
+        scores = [score(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        out = []
+        while (best := max(scores, default=NEVER)) > NEVER:
+            out.append((best, parts[0], parts[-1]))
+            at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            del scores[at]
+            if at:
+                scores[at - 1] = score(parts[at - 1] + parts[at], NEVER)
+            if at < len(scores):
+                scores[at] = score(parts[at] + parts[at + 1], NEVER)
+        return [*out, (NEVER, parts[0], parts[-1])]
+
+    def _fit(self, left: int, right: int) -> bool:
+        """Whether the two pieces, joined and encoded, come back: both merge as if alone, until a merge over their edge has the best score."""
+        for p in (left, right):
+            if p not in self.merging:
+                self.merging[p] = self._merging(self.pieces[p])
+        lefts, rights, score = iter(self.merging[left]), iter(self.merging[right]), self.score.get
+        (a, _, x), (b, y, _) = next(lefts), next(rights)
+        while True:
+            over = score(x + y, NEVER)
+            if over > a and over >= b:
+                return False
+            if a >= b:
+                if a == NEVER:
+                    return True
+                a, _, x = next(lefts)
+            else:
+                b, y, _ = next(rights)
+
+    def _pair(self, left: int, right: int) -> bool:
+        if self.n_pairs >= PAIRS:
+            for fits in self.pairs.values():
+                fits.clear()
+                fits[0] = True
+            self.n_pairs = 0
+        self.n_pairs += 1
+        got = self.pairs[right][left] = self._fit(left, right)
+        return got
 
-    def _fit(self, pair: int) -> bool:
-        left, right = (self.pieces[i] for i in divmod(pair, len(self.pieces)))
-        if len(self.pairs) >= PAIRS:
-            self.pairs.clear()
-        got = self.pairs[pair] = self._encode(left + right) == [left, right]
+    def _ending(self, text: str) -> Ending:
+        """The longest ending of text with which a piece begins: what follows it by the next character, the pieces that end it, longest first, and itself.
+
+        A piece is its length, its id and what is known of the pieces before it; before the first, 0 stands.
+        """
+        while text not in self.begins:
+            text = text[1:]
+        if text not in self.endings:
+            found = [(len(text) - j, piece) for j in range(len(text)) if (piece := self.ids.get(text[j:]))]
+            self.endings[text] = {}, [(length, piece, self.pairs.setdefault(piece, {0: True})) for length, piece in found], text
+        return self.endings[text]
+
+    def _step(self, ending: Ending, char: str) -> Ending:
+        if char not in self.begins:
+            return self.start
+        if self.n_steps >= STEPS:
+            for follows, _, _ in self.endings.values():
+                follows.clear()
+            self.n_steps = 0
+        self.n_steps += 1
+        got = ending[0][char] = self._ending(ending[2] + char)
         return got
 
-    def segment(self, text: str, counts: list[int] | None = None, last: list[int] | None = None) -> list[int]:
+    def segment(self, text: str, counts: list[int] | None = None, last: list[int] | None = None, endings: list[Ending] | None = None) -> list[int]:
         """Counts of all prefixes of one segment, the empty one first.
 
-        counts and last: those of a prefix, from which the program goes on. Both are changed.
+        counts, last and endings: those of a prefix, from which the program goes on. All are changed.
         """
-        counts, last = counts or [0], last or [0]
-        ids, most, pairs, size, fit = self.ids.get, self.most, self.pairs.get, len(self.pieces), self._fit
-        for i in range(len(counts), len(text) + 1):
-            for j in range(max(0, i - most), i):
-                piece = ids(text[j:i])
-                if piece is not None:
-                    if before := last[j]:
-                        ok = pairs(before * size + piece)
-                        if ok is None:
-                            ok = fit(before * size + piece)
-                        if not ok:
-                            continue
-                    counts.append(counts[j] + 1)
+        counts, last, endings = counts or [0], last or [0], endings or [self.start]
+        ending, at = endings[-1], len(counts) - 1
+        for char in text[at:]:
+            at += 1
+            ending = ending[0].get(char) or self._step(ending, char)
+            endings.append(ending)
+            for length, piece, fits in ending[1]:
+                before = last[at - length]
+                fit = fits.get(before)
+                if fit or fit is None and self._pair(before, piece):
+                    counts.append(counts[at - length] + 1)
                     last.append(piece)
                     break
             else:  # a character outside the vocabulary: its bytes, or one unknown; nothing merges with it
-                counts.append(counts[i - 1] + (len(text[i - 1].encode()) if self.fallback else 1))
+                counts.append(counts[at - 1] + (len(char.encode()) if self.fallback else 1))
                 last.append(0)
         return counts
 
-    def _segments(self, text: str) -> tuple[str, list[str]]:
-        """What comes before the first blank mark (only without a dummy prefix), and the segments."""
-        marked = self.dummy + text.replace(" ", MARK)
-        at = marked.find(MARK)
-        return (marked, []) if at < 0 else (marked[:at], SEGMENT.findall(marked, at))
+    def _segments(self, text: str) -> list[str]:
+        return self.split(self.dummy + text.replace(" ", MARK))
 
     def count(self, text: str | None) -> int:
         """Tokens of the whole text; the last entry of prefixes(text)."""
@@ -116,27 +181,30 @@ class PrefixCounter:
 
     def count_all(self, texts: list[str | None]) -> list[int]:
         """Tokens of each text. New segments are handled in order, each from its common start with the one before."""
-        split = [self._segments(t) if t else ("", []) for t in texts]
+        split = [self._segments(t) if t else [] for t in texts]
         known = self.known
         if len(known) >= REMEMBERED:
             known.clear()
-        long, counts, last, before = {}, [0], [0], ""
-        for part in sorted({p for _, parts in split for p in parts if p not in known}):
-            same = len(commonprefix((before, part)))
-            del counts[same + 1 :], last[same + 1 :]
-            (known if len(part) <= LONGEST else long)[part] = self.segment(part, counts, last)[-1]
+        long, counts, last, endings, before = {}, [0], [0], [self.start], ""
+        for part in sorted(set().union(*split).difference(known)):
+            same = 0
+            for a, b in zip(before, part):
+                if a != b:
+                    break
+                same += 1
+            del counts[same + 1 :], last[same + 1 :], endings[same + 1 :]
+            (known if len(part) <= LONGEST else long)[part] = self.segment(part, counts, last, endings)[-1]
             before = part
         if long:
-            return [self.segment(head)[-1] + sum(known[p] if p in known else long[p] for p in parts) for head, parts in split]
-        return [self.segment(head)[-1] + sum(map(known.__getitem__, parts)) for head, parts in split]
+            return [sum(known[p] if p in known else long[p] for p in parts) for parts in split]
+        return [sum(map(known.__getitem__, parts)) for parts in split]
 
     def prefixes(self, text: str | None) -> list[int]:
         """Tokens of text[:i] for each i from 0 to its length in characters."""
         if not text:
             return [0]
-        head, parts = self._segments(text)
         counts = [0]
-        for part in ([head] if head else []) + parts:
+        for part in self._segments(text):
             base = counts[-1]
             counts += [base + n for n in self.segment(part)[1:]]
         return [0, *counts[1 + len(self.dummy) :]]

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +61,43 @@ def test_tokens_equal_the_library_at_every_prefix():
     assert all(len(sp.encode(long[:i])) > 50 for i in range(len(cut) + 1, min(len(long), len(cut) + 40)))
 
 
+def test_tokens_equal_the_library_across_edges_and_when_little_is_remembered(monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokencount.default_model())
+    rng = random.Random(2)
+    signs = "abcdeThéИкл据数取,.;:!?'\"()[]{}<>/\\|=+-_*&%$#@~`^…–“”«»0129 ▁\n\t\r\x00─═ß😀"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 40))) for _ in range(3000)] + [prose(rng, 40), "x" * 500, ".,;" * 60, "▁ " * 70, "据数取获" * 30, "    a--b==c ...\n\n\n"]
+    want = [len(x) for x in sp.encode(texts)]
+    assert tokencount.PrefixCounter(tokencount.default_model()).count_all(texts) == want
+    for name in ("REMEMBERED", "PAIRS", "STEPS", "LONGEST"):
+        monkeypatch.setattr(tokencount, name, 7)
+    counter = tokencount.PrefixCounter(tokencount.default_model())
+    assert [counter.count(t) for t in texts] == want
+    for t in texts[:40]:
+        assert counter.prefixes(t) == [len(sp.encode(t[:i])) for i in range(len(t) + 1)]
+
+
+def test_tokens_of_new_words_take_few_steps():
+    counter = tokencount.PrefixCounter(tokencount.default_model())
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(["th", "re", "on", "an", "er", "st", "ing", "tion", "sh", "ble", "ou", "is"]) for _ in range(rng.randint(2, 5)))
+    counter.count_all([" ".join(word() for _ in range(20_000))])  # from here on most pairs of pieces are known
+    words, calls = [word() for _ in range(5000)], 0
+    text = "".join(w + rng.choice([" ", ", ", ".\n", "; ", " (", ") "]) for w in words)
+
+    def called(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(called)
+    try:
+        counter.count_all([text])
+    finally:
+        sys.setprofile(None)
+    assert calls < 3 * len(text)
+
+
 def test_token_counts(docs, none, rows):
     import sentencepiece
 
